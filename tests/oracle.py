@@ -43,7 +43,7 @@ def rows_of(table: pa.Table) -> list[tuple]:
 
 def differences(spark_df, sql: str, con) -> str | None:
     """None when the results agree, else a short description."""
-    got, want = spark_df.toArrow(), con.execute(sql).to_arrow_table()
+    got, want = spark_df.toArrow(), con.sql(sql).to_arrow_table()
     names = sorted(got.column_names)
     if names != sorted(want.column_names):
         return f"columns {names} vs {sorted(want.column_names)}"
