@@ -28,9 +28,12 @@ def decode_label(code: Column) -> Column:
 def safe_int(value: Column) -> Column:
     """Integers and integer text; numbers truncate; anything else is NULL.
 
-    A cast only ignores ASCII space around digits, so text gets a second try when stripped.
+    Text is matched before it is cast: a failed cast raises and catches an exception per
+    row. The type test is a constant, so only one branch stays in the plan.
     """
-    return F.coalesce(value.try_cast("int"), strip(value.cast("string")).try_cast("int"))
+    digits = strip(value.cast("string"))
+    from_text = F.when(digits.rlike("^[+-]?[0-9]+$"), digits.try_cast("int"))
+    return F.when(F.typeof(value) == "string", from_text).otherwise(value.try_cast("int"))
 
 
 def safe_label(label: Column) -> Column:

@@ -36,16 +36,26 @@ class LoadSummary:
 
 
 def prepare_rows(
-    df: DataFrame, source: str, batch_id: str, ingested_at: datetime | None = None, row_id: str = "row_id"
+    df: DataFrame,
+    source: str,
+    batch_id: str,
+    ingested_at: datetime | None = None,
+    row_id: str = "row_id",
+    has_text: bool = False,
 ) -> DataFrame:
-    """Lake-shaped rows of one batch; blank content is left out, row order is kept in `row_id`."""
+    """Lake-shaped rows of one batch; blank content is left out, row order is kept in `row_id`.
+
+    `has_text` says no content is blank, as after cleaning; testing it again would be pushed
+    to the scan and clean every text twice.
+    """
     require_columns(df, "content")
 
     def optional(name: str, convert):
         return convert(F.col(name)) if name in df.columns else F.lit(None).cast("int")
 
     stamp = F.lit(ingested_at).cast("timestamp") if ingested_at else F.current_timestamp()
-    return df.filter(~is_blank(F.col("content"))).select(
+    rows = df if has_text else df.filter(~is_blank(F.col("content")))
+    return rows.select(
         F.col(row_id).alias("row_id"),
         F.col("content").cast("string").alias("content"),
         optional("score", safe_int).alias("score"),
@@ -132,14 +142,19 @@ def number_rows(df: DataFrame, start: int, order: str = "row_id") -> DataFrame:
 
 
 def append_to_lake(
-    df: DataFrame, lake_path: str, source: str, batch_id: str | None = None, row_id: str = "row_id"
+    df: DataFrame,
+    lake_path: str,
+    source: str,
+    batch_id: str | None = None,
+    row_id: str = "row_id",
+    has_text: bool = False,
 ) -> LoadSummary:
     """Insert a batch, skipping keys already stored; returns what happened."""
     spark = df.sparkSession
     if df.isEmpty():
         return LoadSummary(None, 0, 0)
     batch_id = batch_id or str(uuid.uuid4())
-    prepared = cut_lineage(prepare_rows(df, source, batch_id, row_id=row_id))
+    prepared = cut_lineage(prepare_rows(df, source, batch_id, row_id=row_id, has_text=has_text))
     attempted = prepared.count()
     # the source is a partition column, so only this source's files are read, and of them one column
     stored = read_lake(spark, lake_path).filter(F.col("source") == source)

@@ -29,7 +29,7 @@ def load_job(df: DataFrame, lake_path: str, source: str, batch_id: str | None =
     """Clean a batch of reviews and append it to the lake."""
     if df.isEmpty():
         return LoadSummary(None, 0, 0)
-    return append_to_lake(transform_reviews(df), lake_path, source, batch_id)
+    return append_to_lake(transform_reviews(df), lake_path, source, batch_id, has_text=True)
 
 
 def scrape_load_job(raw: DataFrame, strategy: str, scorer, lake_path: str, source: str) -> LoadSummary:

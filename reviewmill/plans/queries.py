@@ -501,12 +501,12 @@ def linear_scores(spark, d):
     """Table scoring with a stand-in model: a term's coefficient is its share of each class."""
     rows = tables.labeled(spark, d).filter(F.col("label").isNotNull())
     vocab = features.vocabulary(rows)
-    seen = features.term_lists(rows, ["label"]).select("label", F.explode(F.array_distinct("terms")).alias("term"))
+    seen = features.each_term(features.term_lists(rows, ["label"]), ["label"], distinct=True)
     per = seen.groupBy("term").agg(
         *[F.count_if(F.col("label") == c).alias(c) for c in ["negative", "neutral", "positive"]]
     )
     coef = F.array(*[F.col(c) / F.col("df") - F.lit(1.0) / 3 for c in ["negative", "neutral", "positive"]])
-    weights = vocab.join(per, "term").select("term", "idf", coef.alias("coef"))
+    weights = keep(vocab.join(per, "term").select("term", "idf", coef.alias("coef")))
     fitted = model.LinearModel(weights, [0, 1, 2], [0.25, 0.0, -0.25], weights.count())
     every = tables.raw_reviews(spark, d)
     scored = model.class_scores(every, fitted)
@@ -519,7 +519,7 @@ def linear_scores(spark, d):
 @query
 def score_reviews(spark, d):
     """Train on the training split of the labelled reviews, score every review."""
-    rows = transform_reviews(tables.labeled(spark, d))
+    rows = keep(transform_reviews(tables.labeled(spark, d)).select("row_id", "content", "label"))
     train = split.with_split(rows).filter("split = 'train'")
     fitted = model.train_svm(train, params=model.SvmParams(max_iter=30))
     return model.score_reviews(tables.raw_reviews(spark, d), fitted).select("row_id", "app_id", "label", "sentiment")

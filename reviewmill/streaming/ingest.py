@@ -20,7 +20,7 @@ def ingest_stream(stream: DataFrame, lake_path: str, source: str, checkpoint: st
 
     def load(batch: DataFrame, epoch: int) -> None:
         batch_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{source}/{epoch}"))
-        append_to_lake(transform_reviews(batch), lake_path, source, batch_id)
+        append_to_lake(transform_reviews(batch), lake_path, source, batch_id, has_text=True)
 
     return (
         stream.writeStream.foreachBatch(load)
