@@ -18,18 +18,21 @@ def fresh_results(
     results: DataFrame,
     removals: DataFrame | None = None,
     ttl_seconds: int = TTL_SECONDS,
+    slots_per_ttl: int = 4,
 ) -> DataFrame:
     """For each request (and removal) the live result it meets, if any.
 
     requests: key, ts, request_id [, force_refresh]; results: key, created_at;
     removals: key, ts, request_id. Only the last TTL matters to a lookup, so time is
-    cut into TTL-wide slots and every result also appears in the following slot. The
-    window then runs per (key, slot): a key with a third of all traffic is spread over
-    its slots, and no range join is needed.
+    cut into slots and every result and removal also appears in the slots it can still
+    reach. The window then runs per (key, slot): a key with a third of all traffic is
+    spread over its slots, and no range join is needed. More slots per TTL split hot keys
+    finer and copy the (fewer) results more often.
     """
     require_columns(requests, "key", "ts", "request_id")
     require_columns(results, "key", "created_at")
     micros = ttl_seconds * 1_000_000
+    width = -(-micros // slots_per_ttl)
     force = F.col("force_refresh") if "force_refresh" in requests.columns else F.lit(False)
 
     time_type = results.schema["created_at"].dataType
@@ -37,29 +40,28 @@ def fresh_results(
     def at(column: str):
         return F.unix_micros(F.col(column).cast("timestamp"))
 
-    def slots(column: str, both: bool):
-        slot = F.floor(at(column) / micros)
-        return F.explode(F.array(slot, slot + 1)) if both else slot
+    def slot(column: str):
+        return F.floor(at(column) / width)
+
+    reach = F.explode(F.sequence(F.lit(0), F.lit(slots_per_ttl))).alias("later")
 
     asked = requests.select(
         "key", "ts", F.lit(REQUEST).alias("kind"), "request_id", force.alias("forced"),
         slots("ts", False).alias("slot"), F.lit(None).cast(time_type).alias("created_at"), F.lit(True).alias("own"),
     )
-    stored = results.select(
-        "key", F.col("created_at").alias("ts"), F.lit(RESULT).alias("kind"),
-        F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"),
-        F.lit(False).alias("forced"), slots("created_at", True).alias("slot"), "created_at", F.lit(False).alias("own"),
+    no_id = F.lit(None).cast(requests.schema["request_id"].dataType)
+    stored = results.select("key", "created_at", reach).select(
+        "key", F.col("created_at").alias("ts"), F.lit(RESULT).alias("kind"), no_id.alias("request_id"),
+        F.lit(False).alias("forced"), (slot("created_at") + F.col("later")).alias("slot"), "created_at", F.lit(False).alias("own"),
     )
     events = asked.unionByName(stored)
     if removals is not None:
-        gone = removals.select("key", "ts", "request_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("_later"))
-        events = events.unionByName(
-            gone.select(
-                "key", "ts", F.lit(REMOVAL).alias("kind"), "request_id", F.lit(False).alias("forced"),
-                (slots("ts", False) + F.col("_later")).alias("slot"),
-                F.lit(None).cast(time_type).alias("created_at"), (F.col("_later") == 0).alias("own"),
-            )
+        gone = removals.select("key", "ts", "request_id", reach).select(
+            "key", "ts", F.lit(REMOVAL).alias("kind"), "request_id", F.lit(False).alias("forced"),
+            (slot("ts") + F.col("later")).alias("slot"), F.lit(None).cast(time_type).alias("created_at"),
+            (F.col("later") == 0).alias("own"),
         )
+        events = events.unionByName(gone)
     before = Window.partitionBy("key", "slot").orderBy("ts", "kind", "request_id").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -6,6 +6,7 @@ at a time; plain Parquet gives no isolation between concurrent appends.
 
 from __future__ import annotations
 
+import os
 import uuid
 from dataclasses import dataclass
 from datetime import datetime
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from reviewmill.functions.labels import safe_int, safe_label
 from reviewmill.functions.text import content_hash, is_blank
 from reviewmill.operators.ranking import first_per_key
-from reviewmill.schema import LAKE, require_columns
+from reviewmill.schema import BATCH_LOG, LAKE, require_columns
 from reviewmill.session import cut_lineage, fits_broadcast
 
 KEY = ["content_hash", "source"]
@@ -141,6 +142,16 @@ def number_rows(df: DataFrame, start: int, order: str = "row_id") -> DataFrame:
     )
 
 
+def read_batches(spark: SparkSession, lake_path: str) -> DataFrame:
+    """The batch log kept inside the lake folder: one row per batch with its id range."""
+    try:
+        return spark.read.schema(BATCH_LOG).parquet(os.path.join(lake_path, "_batches"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], BATCH_LOG)
+
+
 def append_to_lake(
     df: DataFrame,
     lake_path: str,
@@ -149,7 +160,11 @@ def append_to_lake(
     row_id: str = "row_id",
     has_text: bool = False,
 ) -> LoadSummary:
-    """Insert a batch, skipping keys already stored; returns what happened."""
+    """Insert a batch, skipping keys already stored; returns what happened.
+
+    The id range is logged before the rows are written. A failed write then leaves a gap,
+    never an id used twice, and finding the next id reads the small log, not the lake.
+    """
     spark = df.sparkSession
     if df.isEmpty():
         return LoadSummary(None, 0, 0)
@@ -158,14 +173,15 @@ def append_to_lake(
     attempted = prepared.count()
     # the source is a partition column, so only this source's files are read, and of them one column
     stored = read_lake(spark, lake_path).filter(F.col("source") == source)
-    last_id = read_lake(spark, lake_path).agg(F.max("id")).first()[0]
-    fresh = append_plan(prepared, stored.select(*KEY), attempted)
-    numbered = number_rows(fresh, (last_id or 0) + 1)
-    out = numbered.withColumn("ingest_date", F.to_date("ingested_at")).select(*LAKE.fieldNames())
-    out.write.mode("append").partitionBy("source", "ingest_date").parquet(lake_path)
-    inserted = (
-        read_lake(spark, lake_path)
-        .filter((F.col("source") == source) & (F.col("ingestion_batch_id") == batch_id))
-        .count()
+    numbered = number_rows(append_plan(prepared, stored.select(*KEY), attempted), 0)
+    inserted = numbered.count()
+    if inserted == 0:
+        return LoadSummary(batch_id, attempted, 0)
+    first_id = (read_batches(spark, lake_path).agg(F.max("last_id")).first()[0] or 0) + 1
+    entry = (batch_id, source, attempted, inserted, first_id, first_id + inserted - 1)
+    spark.createDataFrame([entry], BATCH_LOG).coalesce(1).write.mode("append").parquet(
+        os.path.join(lake_path, "_batches")
     )
+    out = numbered.withColumn("id", F.col("id") + first_id).withColumn("ingest_date", F.to_date("ingested_at"))
+    out.select(*LAKE.fieldNames()).write.mode("append").partitionBy("source", "ingest_date").parquet(lake_path)
     return LoadSummary(batch_id, attempted, inserted)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
-PREFIX_DIGITS = 3
+PREFIX_DIGITS = 4
 
 
 def seeded_order(seed: int, *keys: str) -> Column:
@@ -50,7 +50,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def hash_counts(df: DataFrame, group: Sequence[str], row_keys: Sequence[str], seed: int) -> DataFrame:
-    """Rows per group and hash prefix, combined map-side: at most 4096 rows per group."""
+    """Rows per group and hash prefix, combined map-side: at most 65,536 rows per group."""
     prefix = F.substring(seeded_order(seed, *row_keys), 1, PREFIX_DIGITS)
     return df.groupBy(*group, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
 
@@ -67,7 +67,7 @@ def hash_cutoffs(
     """Per group, the shuffle-order value of its quota-th row.
 
     The counts by hash prefix find the one prefix that holds the cut, and only that
-    prefix's rows (1 in 4096) are ranked, so no group is ever sorted as a whole.
+    prefix's rows (1 in 65,536) are ranked, so no group is ever sorted as a whole.
     Rows with an order value up to the cutoff are the sample; a group whose quota is
     0 has no cutoff. `few_groups` says the caller has bounded the number of groups.
     """

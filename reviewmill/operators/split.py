@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewmill.operators.ranking import hash_counts, hash_cutoffs, seeded_order
+from reviewmill.operators.ranking import PREFIX_DIGITS, hash_counts, hash_cutoffs, seeded_order
 from reviewmill.schema import require_columns
+from reviewmill.session import cut_lineage
 
 MAX_CLASSES = 1000
 
@@ -54,12 +57,13 @@ def with_split(
 
     Stratified by class; when a class has one row, or there are fewer train or test
     rows than classes, the whole table is split as one group instead. The table itself
-    is never shuffled: it is counted, one hash prefix in 4096 is ranked, and the cut
+    is never shuffled: it is counted, one hash prefix in 65,536 is ranked, and the cut
     values are broadcast.
     """
     require_columns(df, label, text_col, key)
     rows = df.filter(F.col(label).isNotNull() & F.col(text_col).isNotNull())
-    counts = hash_counts(rows, [label], [key], seed)
+    # small, and the root of all tables below: counted once
+    counts = cut_lineage(hash_counts(rows, [label], [key], seed))
     quotas = split_quotas(counts.groupBy(label).agg(F.sum("_n").alias("n")), label, test_size)
     # the group of a row is its class, or one common group in the fallback
     grouped = quotas.select(
@@ -81,13 +85,25 @@ def with_split(
 
 
 def plain_split(df: DataFrame, key: str = "row_id", test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """An unstratified split of the whole table, without sorting it."""
-    placed = df.withColumn("_group", F.lit("*"))
-    counts = hash_counts(placed, ["_group"], [key], seed)
-    quota = counts.groupBy("_group").agg(F.ceil(F.sum("_n") * test_size).cast("long").alias("quota"))
-    cutoffs = hash_cutoffs(placed, ["_group"], [key], counts, quota, seed, few_groups=True)
-    return (
-        placed.join(F.broadcast(cutoffs), "_group", "left")  # one row
-        .withColumn("split", F.when(seeded_order(seed, key) <= F.col("cutoff"), "test").otherwise("train"))
-        .select(*df.columns, "split")
-    )
+    """An unstratified split of the whole table, without sorting or joining it."""
+    counts = cut_lineage(hash_counts(df, [], [key], seed))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    cutoff = None
+    quota = math.ceil(total * test_size)
+    if quota > 0:
+        upto = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_prefix"))  # 65,536 rows at most
+        cut = (
+            counts.withColumn("_upto", upto)
+            .filter((F.col("_upto") >= quota) & (F.col("_upto") - F.col("_n") < quota))
+            .first()
+        )
+        order = seeded_order(seed, key)
+        inside = df.select(order.alias("_h")).filter(F.startswith("_h", F.lit(cut["_prefix"])))
+        need = quota - cut["_upto"] + cut["_n"]
+        cutoff = (
+            inside.withColumn("_rank", F.row_number().over(Window.partitionBy(F.left("_h", F.lit(PREFIX_DIGITS))).orderBy("_h")))
+            .filter(F.col("_rank") == need)
+            .first()["_h"]
+        )
+    test = seeded_order(seed, key) <= F.lit(cutoff)
+    return df.withColumn("split", F.when(test, "test").otherwise("train"))

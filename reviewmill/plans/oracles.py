@@ -255,13 +255,13 @@ def oracle_sql() -> dict[str, str]:
         "strip_emoji": f"WITH {PAGES} SELECT row_id, regexp_replace(content, '{SYMBOL_PATTERN}', ' ', 'g') AS plain FROM messy",
         "clean_text": f"""WITH {PAGES}, both_ AS (SELECT 'documents' AS origin, doc_id AS row_id, text AS content FROM documents
             UNION ALL SELECT 'pages', row_id, content FROM messy) SELECT origin, row_id, {clean('content')} AS cleaned FROM both_""",
-        "drop_blank_rows": f"WITH {GAPPY} SELECT row_id, {strip('content')} AS content FROM gappy WHERE {strip('content')} <> ''",
-        "transform": f"""WITH {GAPPY}, cleaned AS (SELECT row_id, {clean('content')} AS content, label AS was, COALESCE({code('label')}, {int_text('label')}) AS label FROM gappy)
+        "drop_blank": f"WITH {GAPPY} SELECT row_id, {strip('content')} AS content FROM gappy WHERE {strip('content')} <> ''",
+        "transform_reviews": f"""WITH {GAPPY}, cleaned AS (SELECT row_id, {clean('content')} AS content, label AS was, COALESCE({code('label')}, {int_text('label')}) AS label FROM gappy)
             SELECT row_id, content, label, CASE WHEN label IS NULL THEN was END AS label_raw FROM cleaned WHERE content <> ''""",
         "encode_label": f"WITH {GAPPY} SELECT row_id, {code('label')} AS code FROM gappy",
         "decode_label": f"WITH {GUESSED} SELECT row_id, CASE prediction WHEN 0 THEN 'negative' WHEN 2 THEN 'positive' ELSE 'unknown' END AS sentiment FROM guessed",
         "dropna_any": f"WITH {GAPPY} SELECT row_id, app_id, reviewId, thumbsUpCount, label FROM gappy WHERE content IS NOT NULL AND label IS NOT NULL",
-        "null_counts": f"WITH {GAPPY} "
+        "null_profile": f"WITH {GAPPY} "
         + " UNION ALL ".join(
             f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls FROM gappy"
             for c in ["row_id", "app_id", "reviewId", "content", "score", "thumbsUpCount", "label"]
@@ -351,7 +351,7 @@ def oracle_sql() -> dict[str, str]:
             THEN 'test' ELSE 'train' END AS split FROM documents""",
         "embedding_misses": """SELECT sha256(text) AS text_hash, length(any_value(text)) AS chars FROM documents
             WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id)) GROUP BY text_hash""",
-        "l2_normalize_vectors": """WITH wide AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (label + 2)) AS v FROM embeddings
+        "l2_normalize": """WITH wide AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (label + 2)) AS v FROM embeddings
             ), sized AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM wide)
             SELECT vec_id, CAST(unnest(range(len(v))) AS INTEGER) AS at, round(unnest(v) / size, 6) AS v FROM sized""",
         "class_weights": f"""WITH {LABELED} SELECT label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 9) AS weight

@@ -28,7 +28,7 @@ CLUSTER_ARGS = dict(min_similarity=0.30, min_samples=2, min_cluster_size=5)
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.removesuffix("_")] = fn
     return fn
 
 
@@ -181,12 +181,12 @@ def clean_text(spark, d):
 
 
 @query
-def drop_blank_rows(spark, d):
+def drop_blank_(spark, d):
     return drop_blank(gappy_reviews(spark, d)).select("row_id", "content")
 
 
 @query
-def transform(spark, d):
+def transform_reviews_(spark, d):
     return transform_reviews(gappy_reviews(spark, d)).select("row_id", "content", "label", "label_raw")
 
 
@@ -206,7 +206,7 @@ def dropna_any(spark, d):
 
 
 @query
-def null_counts(spark, d):
+def null_profile_(spark, d):
     return null_profile(gappy_reviews(spark, d))
 
 
@@ -440,7 +440,7 @@ def embedding_misses(spark, d):
 
 
 @query
-def l2_normalize_vectors(spark, d):
+def l2_normalize_(spark, d):
     rows = tables.table(spark, d, "embeddings")
     scaled = F.transform(F.col("embedding").cast("array<double>"), lambda v: v * (F.col("label") + 2))
     return rows.select("vec_id", F.posexplode(l2_normalize(scaled)).alias("at", "v")).select(

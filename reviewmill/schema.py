@@ -64,6 +64,17 @@ LAKE = T.StructType(
     ]
 )
 
+BATCH_LOG = T.StructType(
+    [
+        T.StructField("batch_id", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("attempted", T.LongType()),
+        T.StructField("inserted", T.LongType()),
+        T.StructField("first_id", T.LongType()),
+        T.StructField("last_id", T.LongType()),
+    ]
+)
+
 MODEL_RUNS = T.StructType(
     [
         T.StructField("model_name", T.StringType()),
