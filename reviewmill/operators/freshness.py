@@ -47,7 +47,7 @@ def fresh_results(
 
     asked = requests.select(
         "key", "ts", F.lit(REQUEST).alias("kind"), "request_id", force.alias("forced"),
-        slots("ts", False).alias("slot"), F.lit(None).cast(time_type).alias("created_at"), F.lit(True).alias("own"),
+        slot("ts").alias("slot"), F.lit(None).cast(time_type).alias("created_at"), F.lit(True).alias("own"),
     )
     no_id = F.lit(None).cast(requests.schema["request_id"].dataType)
     stored = results.select("key", "created_at", reach).select(
