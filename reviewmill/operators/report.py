@@ -116,8 +116,7 @@ def analysis_result(
         F.lit(method).alias("scraping_method"),
         F.coalesce("review_count", F.lit(0)).alias("review_count"),
         F.coalesce("sentiment_percentages", F.create_map().cast("map<string,double>")).alias("sentiment_percentages"),
-        "top_reviews",
-        "topic_summary",
+        *[F.coalesce(c, F.create_map().cast(out.schema[c].dataType)).alias(c) for c in ["top_reviews", "topic_summary"]],
         F.coalesce("insight", F.lit("")).alias("llm_insight"),
         F.current_timestamp().alias("insight_generated_at"),
     )

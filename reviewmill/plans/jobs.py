@@ -6,8 +6,7 @@ import os
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from reviewmill.operators.features import hashed_vectors
 from reviewmill.operators.fetch import fetch, latest_slice
@@ -102,9 +101,10 @@ def analyze(
 ) -> DataFrame:
     """Fetch, score, summarise, cluster and report: one record per app.
 
-    The scored rows are kept because four branches read them.
+    The fetched rows are bounded per app; they and their scores are kept, because the count
+    and four summaries read them.
     """
-    picked = fetch(raw, strategy, sample=sample)
+    picked = keep(fetch(raw, strategy, sample=sample))
     scored = keep(score_reviews(picked, model))
     percentages = sentiment_percentages(scored)
     top = top_reviews(scored)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.operators import density, features, metrics, model, registry, split, topics
 from reviewmill.operators.components import connected_components
-from reviewmill.operators.lake import append_to_lake, read_lake
+from reviewmill.operators.lake import read_lake
 from reviewmill.plans.jobs import analyze, scrape_load_job, train_job
 from reviewmill.schema import ReviewDataError
 
@@ -221,3 +221,4 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert abs(sum(out["app1"]["sentiment_percentages"].values()) - 100) < 0.1
     assert len(out["app1"]["top_reviews"]["positive"]) == 5
     assert out["empty"]["review_count"] == 0 and out["empty"]["sentiment_percentages"] == {} and out["empty"]["llm_insight"] == ""
+    assert out["empty"]["top_reviews"] == {} and out["empty"]["topic_summary"] == {}
