@@ -9,19 +9,30 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Fixed value: how byte-level files cut text into words. White space is Unicode's property.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHED_WORDS, CACHED_CHARS = 100_000, 40
+# Fixed value: how byte-level files cut text into words, with the classes L (letters), N (numbers)
+# and S (white space) still to be filled in.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+CACHED_WORDS, CACHED_CHARS = 200_000, 40  # each of two generations
+FAN = 16
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def whole_text_batches(df: DataFrame) -> None:
+    """Whole texts can be long: Python gets few of them at a time, whatever their length."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def byte_letters() -> dict[int, str]:
@@ -31,6 +42,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+@lru_cache(maxsize=1)
+def word_finder() -> Callable[[str], list[str]]:
+    """Cuts a text into words. Text of Latin-1 characters, by far the most common, goes to the
+    standard matcher with the classes spelled out, which is faster; the words are the same."""
+    latin = "".join(map(chr, range(256)))
+    general = narrow = WORD
+    for name, prop in (("{L}", r"\p{L}"), ("{N}", r"\p{N}"), ("{S}", r"\p{White_Space}")):
+        general = general.replace(name, prop)
+        narrow = narrow.replace(name, re.escape("".join(regex.findall(prop, latin))))
+    general, narrow = regex.compile(general).findall, re.compile(narrow).findall
+    return lambda text: narrow(text) if text.isascii() or max(text) <= "\xff" else general(text)
+
+
 class Vocabulary:
     """A byte-level tokenizer file: ids of the bytes, merge ranks, special strings, bytes of each id."""
 
@@ -40,23 +64,24 @@ class Vocabulary:
         ids, letters = spec["model"]["vocab"], byte_letters()
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.byte_ids = [ids[letters[b]] for b in range(256)]
-        #: pair of ids -> (rank, id of the merged pair)
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: pair of ids, as first << 32 | second -> rank; rank -> id of the merged pair
+        self.ranks = {ids[a] << 32 | ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [ids[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         back = {letter: b for b, letter in letters.items()}
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in ids.items()}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
-        self.words = regex.compile(WORD).findall
-        cut = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
-        self.split = regex.compile(f"({cut})").split if cut else lambda text: [text]
+        self.words = word_finder()
+        cut = "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))
+        self.split = re.compile(f"({cut})").split if cut else lambda text: [text]
 
-    def each_word(self, text: str) -> Iterator[str | int]:
-        """The words of a text in order; a special string comes as its id."""
+    def parts(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
+        """The stretches of a text in order: (id, []) of a special string, else (None, words)."""
         for part in self.split(text):
             if part in self.special:
-                yield self.special[part]
+                yield self.special[part], []
             elif part:
-                yield from self.words(part)
+                yield None, self.words(part)
 
 
 @lru_cache(maxsize=2)
@@ -64,53 +89,77 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def merge_word(ids: list[int], merges: dict) -> list[int]:
+class WordCache(dict):
+    """What `make` gives for a word. Two generations of bounded size: a full one becomes the old
+    one, from which words still in use come back. Long words are not kept."""
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str):
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHED_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = got
+        return got
+
+
+def merge_word(ids: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
     """Merge until no adjacent pair has a rank.
 
-    Leaf i of the tree holds rank * n + i of the pair that starts at i; the root is the lowest
-    rank and, among equals, the leftmost. A merge changes three leaves.
+    Leaf i of a segment tree with FAN children a node holds rank * n + i of the pair that starts
+    at i. The root is the lowest rank and, among equals, the leftmost; a merge changes three
+    leaves and what is above them. Up to FAN + 1 symbols the leaves hang from the root itself.
     """
     n = len(ids)
     if n < 2:
         return ids
-    ids, none = list(ids), len(merges) * n + n
+    ids, none, rank_of = list(ids), 1 << 62, ranks.get
+    leaves = [none if (r := rank_of(a << 32 | b)) is None else r * n + i for i, (a, b) in enumerate(zip(ids, ids[1:]))]
+    root = min(leaves)
+    if root == none:
+        return ids
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    width = 1 << (n - 2).bit_length()
-    tree = [none] * (2 * width)
-    for i in range(n - 1):
-        if (found := merges.get((ids[i], ids[i + 1]))) is not None:
-            tree[width + i] = found[0] * n + i
-    for k in range(width - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def put(i: int, value: int) -> None:
-        k = width + i
-        tree[k] = value
-        while k > 1:
-            k >>= 1
-            least = min(tree[2 * k], tree[2 * k + 1])
-            if tree[k] == least:
-                break
-            tree[k] = least
-
-    def rank_at(i: int) -> int:
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+    top, upper = levels[-1], levels[1:]
+
+    def lift(i: int) -> None:
+        below = leaves
+        for level in upper:
+            i //= FAN
+            least = min(below[i * FAN : i * FAN + FAN])
+            if level[i] == least:
+                return
+            level[i] = least
+            below = level
+
+    while root != none:
+        i = root % n
         j = after[i]
-        found = merges.get((ids[i], ids[j])) if j < n else None
-        return none if found is None else found[0] * n + i
-
-    while tree[1] < none:
-        i = tree[1] % n
-        j = after[i]
-        ids[i] = merges[ids[i], ids[j]][1]
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        if j < n - 1:
-            put(j, none)
-        if i < n - 1:
-            put(i, rank_at(i))
-        if before[i] >= 0:
-            put(before[i], rank_at(before[i]))
+        left = ids[i] = merged[root // n]
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            leaves[i] = none if (r := rank_of(left << 32 | ids[k])) is None else r * n + i
+            leaves[j] = none
+        else:
+            leaves[i] = none
+        h = before[i]
+        if h >= 0:
+            leaves[h] = none if (r := rank_of(ids[h] << 32 | left)) is None else r * n + h
+        if upper:
+            for changed in (h, i, j):
+                if 0 <= changed < n - 1:
+                    lift(changed)
+        root = min(top)
     out, i = [], 0
     while i < n:
         out.append(ids[i])
@@ -118,31 +167,28 @@ def merge_word(ids: list[int], merges: dict) -> list[int]:
     return out
 
 
-def encoder(path: str) -> Callable[[str], array]:
-    vocab, cache = vocabulary(path), {}
-
-    def encode(text: str) -> array:
-        out = array("I")
-        for word in vocab.each_word(text):
-            if isinstance(word, int):
-                out.append(word)
-                continue
-            got = cache.get(word)
-            if got is None:
-                got = merge_word([vocab.byte_ids[b] for b in word.encode()], vocab.merges)
-                if len(word) <= CACHED_CHARS:
-                    if len(cache) >= CACHED_WORDS:
-                        cache.clear()
-                    cache[word] = got
-            out.extend(got)
-        return out
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """A function from a text to its ids, unsigned 32-bit integers. A worker keeps it, and its cache, from task to task."""
+    vocab = vocabulary(path)
+    byte_ids, ranks, merged = vocab.byte_ids, vocab.ranks, vocab.merged
+
+    def make(word: str) -> bytes:
+        return array("I", merge_word([byte_ids[b] for b in word.encode()], ranks, merged)).tobytes()
+
+    found = WordCache(make).__getitem__
+
+    def encode(text: str) -> np.ndarray:
+        out = [array("I", [i]).tobytes() if i is not None else b"".join(map(found, words)) for i, words in vocab.parts(text)]
+        return np.frombuffer(b"".join(out), dtype=np.uint32)
 
     return encode
 
 
 def decode(ids, vocab: Vocabulary) -> str:
     """Bytes of the ids as text; broken UTF-8 becomes U+FFFD, unknown ids add nothing."""
-    return b"".join(vocab.bytes_of.get(int(i), b"") for i in ids).decode("utf-8", errors="replace")
+    known = vocab.bytes_of
+    return b"".join([known.get(i, b"") for i in ids.tolist()]).decode("utf-8", errors="replace")
 
 
 def token_ids(text: Column, path: str) -> Column:
@@ -152,7 +198,7 @@ def token_ids(text: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder(path)
         for texts in batches:
-            yield pd.Series([encode(t or "") for t in texts], dtype=object)
+            yield pd.Series([encode(t or "").view(np.int32) for t in texts], dtype=object)
 
     return run(text)
 
@@ -169,10 +215,25 @@ def text_of(ids: Column, path: str) -> Column:
     return run(ids)
 
 
-@F.pandas_udf(T.StringType())
-def ids_digest(rows: pd.Series) -> pd.Series:
-    """sha256 of ids as little-endian unsigned 32-bit integers."""
-    return rows.map(lambda ids: hashlib.sha256(b"" if ids is None else ids.astype("<u4").tobytes()).hexdigest())
+def round_trip_digest(text: Column, path: str) -> Column:
+    """struct<n_tokens, ids_sha256, decoded_sha256>: a text encoded, and decoded from its ids.
+
+    ids_sha256 is of the ids as little-endian unsigned 32-bit integers, decoded_sha256 of the
+    decoded text in UTF-8.
+    """
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode, vocab = encoder(path), vocabulary(path)
+
+        def digests(text: str | None) -> tuple[int, str, str]:
+            ids = encode(text or "")
+            return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode(ids, vocab).encode()).hexdigest()
+
+        for texts in batches:
+            yield pd.DataFrame([digests(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run(text)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -182,4 +243,11 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     empty texts give empty lists, other columns stay, an empty table gives no rows. `path` names
     the vocabulary file on every executor.
     """
+    whole_text_batches(docs)
     return docs.withColumn("ids", token_ids(F.col("text"), path))
+
+
+def verify_round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, encoded and decoded in one pass; cases as above."""
+    whole_text_batches(docs)
+    return docs.select("doc_id", round_trip_digest(F.col("text"), path).alias("_trip")).select("doc_id", "_trip.*")

@@ -3,63 +3,56 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.bpe import CACHED_CHARS, CACHED_WORDS, vocabulary
+from reviewmill.llm.bpe import WordCache, vocabulary, whole_text_batches
 
 
-def merged_count(symbols: list[int], merges: dict) -> int:
+def merged_count(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> int:
     """Symbols left when no adjacent pair has a rank: their first number less the merges made.
 
-    The heap holds (rank, start) of adjacent pairs, also outdated ones; a popped pair counts if
-    both symbols still stand there and still have that rank.
+    The heap holds rank * n + start of adjacent pairs, also outdated ones; a popped pair counts
+    if both symbols still stand there and still have that rank.
     """
-    n = len(symbols)
+    n, rank_of = len(symbols), ranks.get
+    heap = [r * n + i for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank_of(a << 32 | b)) is not None]
+    if not heap:
+        return n
     symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(found[0], i) for i in range(n - 1) if (found := merges.get((symbols[i], symbols[i + 1]))) is not None]
     heapify(heap)
-    merged = 0
+    left = n
     while heap:
-        rank, i = heappop(heap)
+        rank, i = divmod(heappop(heap), n)
         j = after[i]
-        if symbols[i] < 0 or j >= n:
+        if j >= n or symbols[i] < 0 or rank_of(symbols[i] << 32 | symbols[j]) != rank:
             continue
-        found = merges.get((symbols[i], symbols[j]))
-        if found is None or found[0] != rank:
-            continue
-        symbols[i], symbols[j] = found[1], -1
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        merged += 1
-        for start in (before[i], i):
-            if start >= 0 and after[start] < n and (new := merges.get((symbols[start], symbols[after[start]]))) is not None:
-                heappush(heap, (new[0], start))
-    return n - merged
-
-
+        new = symbols[i] = merged[rank]
+        symbols[j] = -1
+        k = after[i] = after[j]
+        left -= 1
+        if k < n:
+            before[k] = i
+            if (r := rank_of(new << 32 | symbols[k])) is not None:
+                heappush(heap, r * n + i)
+        h = before[i]
+        if h >= 0 and (r := rank_of(symbols[h] << 32 | new)) is not None:
+            heappush(heap, r * n + h)
+    return left
+
+
+@lru_cache(maxsize=1)
 def counter(path: str) -> Callable[[str], int]:
-    vocab, cache = vocabulary(path), {}
+    vocab = vocabulary(path)
+    byte_ids, ranks, merged = vocab.byte_ids, vocab.ranks, vocab.merged
+    found = WordCache(lambda word: merged_count([byte_ids[b] for b in word.encode()], ranks, merged)).__getitem__
 
     def count(text: str) -> int:
-        total = 0
-        for word in vocab.each_word(text):
-            if isinstance(word, int):
-                total += 1
-                continue
-            got = cache.get(word)
-            if got is None:
-                got = merged_count([vocab.byte_ids[b] for b in word.encode()], vocab.merges)
-                if len(word) <= CACHED_CHARS:
-                    if len(cache) >= CACHED_WORDS:
-                        cache.clear()
-                    cache[word] = got
-            total += got
-        return total
+        return sum(1 if i is not None else sum(map(found, words)) for i, words in vocab.parts(text))
 
     return count
 
@@ -80,6 +73,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     Null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated results, an empty
     table none; other columns are ignored. `path` names the vocabulary file on every executor.
     """
+    whole_text_batches(docs)
     text = F.coalesce("text", F.lit(""))
     counted = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), token_count(F.col("text"), path).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

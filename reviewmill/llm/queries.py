@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from reviewmill.llm import bpe, chat, counts, exact
 
@@ -65,13 +64,7 @@ FROM norm WINDOW w AS (PARTITION BY t)"""
 
 @query
 def op3_bpe_roundtrip(spark, d):
-    encoded = bpe.encode_documents(read(spark, d, "documents").select("doc_id", "text"), BYTE_BPE)
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_digest("ids").alias("ids_sha256"),
-        F.sha2(bpe.text_of(F.col("ids"), BYTE_BPE), 256).alias("decoded_sha256"),
-    )
+    return bpe.verify_round_trip(read(spark, d, "documents"), BYTE_BPE)
 
 
 @query

@@ -58,13 +58,14 @@ def test_segment_tree_and_heap_on_random_ranks():
                 merges[pair] = (rank, k)
                 k += 1
         merges = {p: (i, m) for i, (p, (_, m)) in enumerate(merges.items())}
-        symbols = [rng.randrange(4) for _ in range(rng.randint(0, 40))]
+        ranks, merged = {a << 32 | b: i for (a, b), (i, _) in merges.items()}, [m for _, m in merges.values()]
+        symbols = [rng.randrange(4) for _ in range(rng.choice([5, 40, 400]))]
         plain = list(symbols)
         while found := [(merges[p][0], i) for i, p in enumerate(zip(plain, plain[1:])) if p in merges]:
             _, i = min(found)
             plain[i : i + 2] = [merges[plain[i], plain[i + 1]][1]]
-        assert bpe.merge_word(symbols, merges) == plain
-        assert counts.merged_count(symbols, merges) == len(plain)
+        assert bpe.merge_word(symbols, ranks, merged) == plain
+        assert counts.merged_count(symbols, ranks, merged) == len(plain)
 
 
 def test_documents(spark, library):
