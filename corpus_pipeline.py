@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reviewmill.llm import exact
+from reviewmill.llm import bpe, exact, mixing, ngrams, toxicity
 from reviewmill.session import scratch_path
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a chain trained on the labelled ones calls toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.train_chain(docs, labels))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the smallest id stays."""
     return exact.drop_copies(docs)
 
 
-STAGES = [("exact dedup", dedup)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at five-word Jaccard 0.8, the one with the smallest id stays."""
+    return ngrams.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.mix_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids, and whether they decode to its text."""
+    encoded = bpe.encode_documents(docs.select("doc_id", "text"), VOCABULARY)
+    same = bpe.text_of(F.col("ids"), VOCABULARY) == F.coalesce("text", F.lit(""))
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact dedup", drop_copies),
+    ("ngram jaccard join", drop_near_copies),
+    ("source mixing", mix_sources),
+    ("bpe encoding", encode),
+]
 
-#: Training and sampling have no SQL.
+#: Training and sampling have no SQL; tests/llm compares each stage with a plain version.
 ORACLE_SQL = None
 
 

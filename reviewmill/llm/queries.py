@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from reviewmill.llm import bpe, chat, counts, exact
+from reviewmill.llm import bpe, chat, counts, exact, licenses, mixing, ngrams, projections, secrets, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -70,3 +70,34 @@ def op3_bpe_roundtrip(spark, d):
 @query
 def op4_token_counts(spark, d):
     return counts.count_tokens(read(spark, d, "documents"), BYTE_BPE)
+
+
+@query
+def op5_embedding_near_dedup(spark, d):
+    return projections.near_vectors(read(spark, d, "embeddings"))
+
+
+@query
+def op6_ngram_jaccard_join(spark, d):
+    return ngrams.jaccard_groups(read(spark, d, "documents"), ngrams.Join(words=3, percent=90))
+
+
+@query
+def op8_license_scans(spark, d):
+    return licenses.scan_licenses(read(spark, d, "documents"))
+
+
+@query
+def op9_source_mixing(spark, d):
+    return mixing.mix_report(read(spark, d, "documents"))
+
+
+@query
+def op7_toxicity_chain(spark, d):
+    docs = read(spark, d, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train_chain(docs, read(spark, d, "labels")))
+
+
+@query
+def op10_secret_scan(spark, d):
+    return secrets.scan_secrets(read(spark, d, "documents"))
