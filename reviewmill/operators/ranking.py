@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
+LIMIT_THRESHOLD = "spark.sql.optimizer.windowGroupLimitThreshold"
 PREFIX_DIGITS = 4
 
 
@@ -26,10 +27,13 @@ def top_k(
 ) -> DataFrame:
     """The first k rows of each group with their rank.
 
-    Small k: Spark limits each group inside every map task before the shuffle. Large
-    k is past that rule's threshold, so the group is first cut to k rows in SALTS
-    slices; only the survivors meet in one place, however large the group.
+    Spark limits each group inside every map task before the shuffle, for any k: the threshold
+    of that rule is raised to k where it is lower. For large k the group is cut in SALTS slices
+    before that; only the survivors meet in one place, however large the group.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(LIMIT_THRESHOLD)) < k:
+        conf.set(LIMIT_THRESHOLD, k)
     if k > 1000:
         slice_ = F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS))
         local = Window.partitionBy(*keys, "_slice").orderBy(*order)

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewmill.functions.text import one_line
-from reviewmill.operators.summary import class_grid
-from reviewmill.schema import SUMMARY_CLASSES, UNKNOWN_LABEL, require_columns
+from reviewmill.schema import SUMMARY_CLASSES, TOPIC_CLASSES, UNKNOWN_LABEL, require_columns
 
 NO_REVIEWS = "No reviews available."
 
@@ -33,39 +32,43 @@ Most supported negative reviews:
 """
 
 
-def review_block(top: DataFrame) -> DataFrame:
-    """(app_id, sentiment, block): one '- (N upvotes) text' line per top review, in rank order."""
+def _blocks(top: DataFrame, apps: DataFrame) -> DataFrame:
+    """(app_id, one column per class): the class's lines, or NO_REVIEWS."""
     require_columns(top, "app_id", "sentiment", "rank", "content", "thumbsUpCount")
     text = one_line(F.col("content"))
     line = F.concat(F.lit("- ("), F.coalesce("thumbsUpCount", F.lit(0)).cast("string"), F.lit(" upvotes) "), text)
-    lines = (
-        top.filter(text != "")
-        .groupBy("app_id", "sentiment")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("_lines"))  # top-n rows only
+    entry = F.struct("rank", line.alias("line"))
+    # top-n rows only: one pass, a list for each class
+    listed = top.filter(text != "").groupBy("app_id").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("sentiment") == c, entry))).alias(c) for c in SUMMARY_CLASSES]
     )
-    joined = F.array_join(F.transform("_lines", lambda r: r["line"]), "\n")
-    return class_grid(top).join(lines, ["app_id", "sentiment"], "left").select(
-        "app_id", "sentiment", F.coalesce(joined, F.lit(NO_REVIEWS)).alias("block")
+    joined = lambda c: F.array_join(F.transform(c, lambda r: r["line"]), "\n")
+    return apps.select("app_id").distinct().join(listed, "app_id", "left").select(
+        "app_id", *[F.when(F.size(c) > 0, joined(c)).otherwise(NO_REVIEWS).alias(c) for c in SUMMARY_CLASSES]
     )
 
 
-def topic_map(summary: DataFrame) -> DataFrame:
-    """(app_id, topic_summary): class to its ranked list of topics."""
-    entry = F.struct("rank", "topic", "count", "percentage")
-    listed = summary.groupBy("app_id", "sentiment").agg(F.sort_array(F.collect_list(entry)).alias("_t"))
-    plain = F.transform("_t", lambda t: F.struct(t["topic"].alias("topic"), t["count"].alias("count"), t["percentage"].alias("percentage")))
-    pairs = F.sort_array(F.collect_list(F.struct(F.col("sentiment"), plain.alias("topics"))))
-    return listed.groupBy("app_id").agg(F.map_from_entries(pairs).alias("topic_summary"))
+def review_block(top: DataFrame, apps: DataFrame) -> DataFrame:
+    """(app_id, sentiment, block): one '- (N upvotes) text' line per top review, in rank order."""
+    entries = F.array(*[F.struct(F.lit(c).alias("sentiment"), F.col(c).alias("block")) for c in SUMMARY_CLASSES])
+    return _blocks(top, apps).select("app_id", F.inline(entries))
 
 
-def insight_prompt(top: DataFrame, topics: DataFrame) -> DataFrame:
-    """(app_id, prompt): the filled-in template of every app with top reviews."""
-    blocks = review_block(top).groupBy("app_id").agg(
-        *[F.max(F.when(F.col("sentiment") == c, F.col("block"))).alias(c) for c in SUMMARY_CLASSES]
-    )
-    joined = blocks.join(topic_map(topics), "app_id", "left").withColumn(
-        "topics", F.coalesce(F.to_json("topic_summary"), F.lit("{}"))
+def topic_map(summary: DataFrame, apps: DataFrame) -> DataFrame:
+    """(app_id, topic_summary): each of the three classes to its ranked list of topics, which may be empty."""
+    entry = F.struct("rank", "topic", "count", "percentage")
+    listed = summary.groupBy("app_id").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("sentiment") == c, entry))).alias(c) for c in TOPIC_CLASSES]
     )
+    plain = lambda t: F.struct(t["topic"].alias("topic"), t["count"].alias("count"), t["percentage"].alias("percentage"))
+    none = F.array().cast("array<struct<topic:string,count:bigint,percentage:double>>")
+    pairs = [x for c in TOPIC_CLASSES for x in (F.lit(c), F.coalesce(F.transform(c, plain), none))]
+    return apps.select("app_id").distinct().join(listed, "app_id", "left").select("app_id", F.create_map(*pairs).alias("topic_summary"))
+
+
+def insight_prompt(top: DataFrame, topics: DataFrame, apps: DataFrame) -> DataFrame:
+    """(app_id, prompt): the filled-in template of every app of `apps`."""
+    joined = _blocks(top, apps).join(topic_map(topics, apps), "app_id").withColumn("topics", F.to_json("topic_summary"))
     # the template is cut at its slots, so review text can hold braces or percent signs
     pieces, rest = [], PROMPT
     for slot in ["topics", *SUMMARY_CLASSES]:
@@ -75,14 +78,15 @@ def insight_prompt(top: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def complete(prompts: DataFrame, model: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """Adds `insight` by a user-supplied completion function, loaded once per task."""
+    """Adds `insight` by a user-supplied completion function, loaded once per task; only the prompt goes to Python."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(T.StringType())
+    def ask_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ask = model()
-        for frame in frames:
-            yield frame.assign(insight=[ask(p) for p in frame["prompt"]])
+        for texts in batches:
+            yield pd.Series([ask(p) for p in texts], dtype=object)
 
-    return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField("insight", T.StringType())]))
+    return prompts.withColumn("insight", ask_all("prompt"))
 
 
 def analysis_result(
@@ -105,7 +109,7 @@ def analysis_result(
         .join(counts, "app_id", "left")
         .join(shares, "app_id", "left")
         .join(top_nested.select("app_id", "top_reviews"), "app_id", "left")
-        .join(topic_map(topics), "app_id", "left")
+        .join(topic_map(topics, reviews), "app_id", "left")
     )
     if insights is not None:
         out = out.join(insights.select("app_id", "insight"), "app_id", "left")

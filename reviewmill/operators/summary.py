@@ -36,23 +36,17 @@ def top_reviews(df: DataFrame, n: int = 5, column: str = "sentiment", classes=SU
     )
 
 
-def class_grid(apps: DataFrame, classes=SUMMARY_CLASSES, column: str = "sentiment") -> DataFrame:
-    """One row per app and class, so a class without rows still shows up."""
-    return apps.select("app_id").distinct().select("app_id", F.explode(F.lit(list(classes))).alias(column))
-
-
-def top_reviews_nested(top: DataFrame) -> DataFrame:
-    """Per app a JSON object: class to its ranked list of records; absent classes are empty lists."""
+def top_reviews_nested(top: DataFrame, apps: DataFrame) -> DataFrame:
+    """Per app of `apps` a JSON object: class to its ranked list of records; absent classes are empty lists."""
     record = F.struct("rank", "content", "thumbsUpCount")
-    # five rows per app and class at most
-    listed = top.groupBy("app_id", "sentiment").agg(F.sort_array(F.collect_list(record)).alias("_rows"))
-    full = class_grid(top).join(listed, ["app_id", "sentiment"], "left")
-    rows = F.transform("_rows", lambda r: F.struct(r["content"].alias("content"), r["thumbsUpCount"].alias("thumbsUpCount")))
+    # one pass over the few top rows of an app: a list for each class
+    of = lambda c: F.sort_array(F.collect_list(F.when(F.col("sentiment") == c, record)))
+    listed = top.groupBy("app_id").agg(*[of(c).alias(c) for c in SUMMARY_CLASSES])
     empty = F.array().cast("array<struct<content:string,thumbsUpCount:int>>")
-    pairs = F.sort_array(F.collect_list(F.struct(F.col("sentiment"), F.coalesce(rows, empty).alias("rows"))))
-    return full.groupBy("app_id").agg(F.map_from_entries(pairs).alias("top_reviews")).withColumn(
-        "top_reviews_json", F.to_json("top_reviews")
-    )
+    plain = lambda r: F.struct(r["content"].alias("content"), r["thumbsUpCount"].alias("thumbsUpCount"))
+    entries = [x for c in sorted(SUMMARY_CLASSES) for x in (F.lit(c), F.coalesce(F.transform(c, plain), empty))]
+    full = apps.select("app_id").distinct().join(listed, "app_id", "left")
+    return full.select("app_id", F.create_map(*entries).alias("top_reviews")).withColumn("top_reviews_json", F.to_json("top_reviews"))
 
 
 def topic_summary(df: DataFrame, n: int = 3) -> DataFrame:

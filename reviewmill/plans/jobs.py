@@ -7,9 +7,10 @@ import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from reviewmill.operators.features import hashed_vectors
-from reviewmill.operators.fetch import fetch, latest_slice
+from reviewmill.operators.fetch import dedup_reviews, fetch, latest_slice
 from reviewmill.operators.lake import LoadSummary, append_to_lake
 from reviewmill.operators.metrics import classification_report, weighted_metrics
 from reviewmill.operators.model import LinearModel, SvmParams, label_with, score_reviews, train_svm
@@ -19,7 +20,7 @@ from reviewmill.operators.split import with_split
 from reviewmill.operators.summary import sentiment_percentages, top_reviews, top_reviews_nested, topic_summary
 from reviewmill.operators.topics import cluster_topics
 from reviewmill.operators.transform import transform_reviews
-from reviewmill.session import keep
+from reviewmill.session import cut_lineage, keep
 
 MEASURES = ["accuracy", "precision", "recall", "f1"]
 
@@ -96,21 +97,26 @@ def analyze(
     apps: DataFrame | None = None,
     encode=hashed_vectors,
     complete_with=None,
-    sample: int = 4000,
+    sample: int | None = None,
+    counts: dict[str, int] | None = None,
     **topics,
 ) -> DataFrame:
     """Fetch, score, summarise, cluster and report: one record per app.
 
-    The fetched rows are bounded per app; they and their scores are kept, because the count
+    All rows are analysed unless the caller names a strategy's `counts` (newest_count,
+    relevant_count) or a `sample` per app. The scored rows are written once, because the count
     and four summaries read them.
     """
-    picked = keep(fetch(raw, strategy, sample=sample))
-    scored = keep(score_reviews(picked, model))
+    if counts is None and sample is None:
+        picked = dedup_reviews(raw, [F.desc("row_id")])
+    else:
+        picked = fetch(raw, strategy, sample=sample, **(counts or {}))
+    scored = cut_lineage(score_reviews(picked, model))
     percentages = sentiment_percentages(scored)
-    top = top_reviews(scored)
-    summary = topic_summary(cluster_topics(scored, encode=encode, **topics))
-    prompts = insight_prompt(top, summary)
+    top = cut_lineage(top_reviews(scored))
+    summary = cut_lineage(topic_summary(cluster_topics(scored, encode=encode, **topics)))
+    prompts = insight_prompt(top, summary, scored)
     insights = complete(prompts, complete_with) if complete_with else prompts.withColumnRenamed("prompt", "insight")
     return analysis_result(
-        apps if apps is not None else raw, picked, percentages, top_reviews_nested(top), summary, insights, strategy
+        apps if apps is not None else raw, scored, percentages, top_reviews_nested(top, scored), summary, insights, strategy
     )

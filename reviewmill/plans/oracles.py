@@ -102,7 +102,7 @@ def fetch_sql(base: str, picks: str, extra: str = "") -> str:
       SELECT * FROM picked QUALIFY row_number() OVER (PARTITION BY app_id, reviewId ORDER BY src_rank, pos) = 1
     ), shuffled AS (
       SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY md5('42:' || reviewId)) AS sample_pos FROM uniq)
-    SELECT {extra} app_id, reviewId, score, thumbsUpCount, row_id, src_rank, pos, sample_pos FROM shuffled WHERE sample_pos <= 4000"""
+    SELECT {extra} app_id, reviewId, content, score, thumbsUpCount, row_id, src_rank, pos, sample_pos FROM shuffled WHERE sample_pos <= 25"""
 
 
 def newest(n: int) -> str:
@@ -182,29 +182,52 @@ DENSITY = """WITH RECURSIVE points AS (SELECT vec_id AS row_id, label % 3 AS grp
 """
 
 CLUSTER_TEXT = CLUSTERED + f""", texts AS (
-  SELECT {CLUSTER_KEYS}, left(string_agg(content, ' ' ORDER BY row_id), 4000) AS cluster_text FROM (
+  SELECT {CLUSTER_KEYS}, string_agg(content, ' ' ORDER BY row_id) AS cluster_text FROM (
     SELECT * FROM clustered WHERE cluster <> -1 QUALIFY row_number() OVER (PARTITION BY {CLUSTER_KEYS} ORDER BY row_id) <= 100)
   GROUP BY {CLUSTER_KEYS})"""
 
-KEYWORDS = CLUSTER_TEXT + f""", occ AS ({terms('texts', CLUSTER_KEYS, 'cluster_text', stop=True)}
+
+def overlap(a: str, b: str) -> str:
+    x, y = f"string_split({a}, ' ')", f"string_split({b}, ' ')"
+    return f"len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y})))"
+
+
+def keywords(rows: str) -> str:
+    """CTEs that lead to named (cluster keys, keywords): three terms at diversity 0.5."""
+    best = f"row_number() OVER (PARTITION BY {CLUSTER_KEYS} ORDER BY cost, term) = 1"
+    return f"""occ AS ({terms(f"(SELECT * FROM {rows} WHERE cluster <> -1)", CLUSTER_KEYS, 'content', stop=True)}
 ), tf AS (SELECT {CLUSTER_KEYS}, term, count(*) AS tf FROM occ GROUP BY ALL
 ), words AS (SELECT {CLUSTER_KEYS}, sum(tf) AS words FROM tf GROUP BY ALL
 ), mean AS (SELECT app_id, avg(words) AS mean FROM words GROUP BY app_id
 ), overall AS (SELECT app_id, term, sum(tf) AS f FROM tf GROUP BY ALL
 ), raws AS (SELECT {CLUSTER_KEYS}, term, tf / words * ln(1 + mean / f) AS worth
   FROM tf JOIN words USING ({CLUSTER_KEYS}) JOIN mean USING (app_id) JOIN overall USING (app_id, term)
-), scored AS (SELECT {CLUSTER_KEYS}, term, round(worth / max(worth) OVER (PARTITION BY {CLUSTER_KEYS}), 9) AS score FROM raws
-), picked AS (SELECT *, row_number() OVER (PARTITION BY {CLUSTER_KEYS} ORDER BY score DESC, term) AS place FROM scored QUALIFY place <= 3
-), named AS (SELECT {CLUSTER_KEYS}, string_agg(term, ' | ' ORDER BY place) AS keywords FROM picked GROUP BY {CLUSTER_KEYS})"""
+), scored AS MATERIALIZED (SELECT {CLUSTER_KEYS}, term, round(worth / max(worth) OVER (PARTITION BY {CLUSTER_KEYS}), 9) AS score FROM raws
+), first_ AS (SELECT {CLUSTER_KEYS}, term AS t1, term, -score AS cost FROM scored QUALIFY {best}
+), second_ AS (SELECT {CLUSTER_KEYS}, t1, s.term AS t2, s.term, round(0.5 * {overlap('t1', 's.term')} - 0.5 * score, 9) AS cost
+  FROM scored s JOIN (SELECT * EXCLUDE (term, cost) FROM first_) USING ({CLUSTER_KEYS}) WHERE s.term <> t1 QUALIFY {best}
+), third_ AS (SELECT {CLUSTER_KEYS}, s.term AS t3, s.term, round(0.5 * greatest({overlap('t1', 's.term')}, {overlap('t2', 's.term')}) - 0.5 * score, 9) AS cost
+  FROM scored s JOIN (SELECT * EXCLUDE (term, cost) FROM second_) USING ({CLUSTER_KEYS}) WHERE s.term <> t1 AND s.term <> t2 QUALIFY {best}
+), named AS (SELECT {CLUSTER_KEYS}, concat_ws(' | ', t1, t2, t3) AS keywords
+  FROM first_ LEFT JOIN (SELECT * EXCLUDE (t1, term, cost) FROM second_) USING ({CLUSTER_KEYS}) LEFT JOIN (SELECT * EXCLUDE (term, cost) FROM third_) USING ({CLUSTER_KEYS}))"""
 
-GRID = "grid AS (SELECT app_id, unnest(['positive', 'neutral', 'negative']) AS sentiment FROM (SELECT DISTINCT app_id FROM top))"
+
+KEYWORDS = CLUSTERED + ", " + keywords("clustered")
+
+GRID = "grid AS (SELECT app_id, unnest(['positive', 'neutral', 'negative']) AS sentiment FROM (SELECT DISTINCT app_id FROM felt))"
 
 BLOCKS_BODY = f"""{GRID}, blocks AS (
   SELECT app_id, sentiment, COALESCE(block, '{NO_REVIEWS}') AS block FROM grid LEFT JOIN (
     SELECT app_id, sentiment, string_agg('- (' || thumbsUpCount || ' upvotes) ' || replace({strip('content')}, chr(10), ' '), chr(10) ORDER BY rank) AS block
     FROM top WHERE {strip('content')} <> '' GROUP BY app_id, sentiment) USING (app_id, sentiment))"""
 
-BLOCKS = TOP + ", " + BLOCKS_BODY
+HALF = LABELED + """, felt AS (
+  SELECT * EXCLUDE (label), CASE WHEN regexp_matches(app_id, '[02468]$') THEN label END AS sentiment FROM labeled)"""
+
+HALF_TOPICS = HALF + ", all_felt AS (SELECT * EXCLUDE (label), label AS sentiment FROM labeled), " + CLUSTERED.split("felt AS (SELECT * EXCLUDE (label), label AS sentiment FROM labeled), ", 1)[1].replace(
+    "clustered AS (", "everything AS ("
+).replace("FROM felt JOIN", "FROM all_felt JOIN").replace("SELECT felt.*", "SELECT all_felt.*") + """, clustered AS (
+  SELECT * FROM everything WHERE regexp_matches(app_id, '[0369]$') AND sentiment <> 'neutral')"""
 
 LANG_FELT = SENTIMENT + """, spoken AS (
   SELECT felt.* EXCLUDE (app_id), lang AS app_id FROM felt JOIN documents ON doc_id = row_id WHERE sentiment IS NOT NULL
@@ -214,6 +237,17 @@ LOOKUPS = """asked AS (SELECT event_id AS request_id, user_id AS key, ts, value
 ), stored AS (SELECT user_id AS key, ts AS created_at FROM events WHERE event_type = 'purchase')"""
 
 
+TOP_LISTS = """top_lists AS (SELECT app_id, sentiment,
+    string_agg('{"content":"' || sha256(content) || '","thumbsUpCount":' || thumbsUpCount || '}', ',' ORDER BY rank) AS l FROM top GROUP BY ALL
+), top_maps AS (SELECT app_id, '{' || string_agg('"' || sentiment || '":[' || COALESCE(l, '') || ']', ',' ORDER BY sentiment) || '}' AS j
+  FROM grid LEFT JOIN top_lists USING (app_id, sentiment) GROUP BY app_id)"""
+
+TOPIC_LISTS = """topic_lists AS (SELECT app_id, sentiment,
+    string_agg('{"topic":"' || topic || '","count":' || "count" || ',"percentage":' || percentage || '}', ',' ORDER BY rank) AS l FROM summed GROUP BY ALL
+), topic_maps AS (SELECT app_id, '{' || string_agg('"' || sentiment || '":[' || COALESCE(l, '') || ']', ',' ORDER BY sentiment) || '}' AS j
+  FROM grid LEFT JOIN topic_lists USING (app_id, sentiment) GROUP BY app_id)"""
+
+
 def prompt_sql() -> str:
     pieces, rest = [], PROMPT
     for slot in ["topics", "positive", "neutral", "negative"]:
@@ -223,33 +257,56 @@ def prompt_sql() -> str:
     return " || ".join(pieces)
 
 
+PROMPTS = f"""{HALF_TOPICS}, {TOP_BODY}, {BLOCKS_BODY}, {TOPICS}, {TOPIC_LISTS}, wide AS (
+  SELECT app_id, max(block) FILTER (sentiment = 'positive') AS positive, max(block) FILTER (sentiment = 'neutral') AS neutral,
+    max(block) FILTER (sentiment = 'negative') AS negative FROM blocks GROUP BY app_id
+), filled AS (SELECT wide.*, j AS topics FROM wide JOIN topic_maps USING (app_id)
+), prompts AS (SELECT app_id, {prompt_sql()} AS prompt FROM filled)"""
+
+TOPIC_FLOW = SENTIMENT + """, points AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN vec_id % 2 = 0 THEN 'positive' ELSE 'negative' END AS sentiment
+  FROM embeddings WHERE vec_id IN (SELECT row_id FROM felt)
+), near AS (
+  SELECT a.row_id AS src, b.row_id AS dst FROM points a JOIN points b ON a.sentiment = b.sentiment AND a.row_id <> b.row_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.30
+), cores AS (SELECT src AS row_id FROM near GROUP BY src HAVING count(*) >= 2
+), reach(row_id, root) AS (
+  SELECT row_id, row_id FROM cores
+  UNION
+  SELECT near.dst, reach.root FROM reach JOIN near ON near.src = reach.row_id JOIN cores ON cores.row_id = near.dst
+), roots AS (SELECT row_id, min(root) AS root FROM reach GROUP BY row_id
+), big AS (SELECT root, sentiment FROM roots JOIN points USING (row_id) GROUP BY root, sentiment HAVING count(*) >= 5
+  QUALIFY row_number() OVER (PARTITION BY sentiment ORDER BY count(*) DESC, root) <= 2
+), placed AS (SELECT 'all' AS app_id, points.sentiment, points.row_id, content, COALESCE(big.root, -1) AS cluster
+  FROM points JOIN felt USING (row_id) LEFT JOIN roots USING (row_id) LEFT JOIN big ON big.root = roots.root)"""
+
+
 def oracle_sql() -> dict[str, str]:
     clustered_topics = CLUSTERED + ", " + TOPICS
     occ = terms("raw", "row_id", "content")
     sql = {
-        "fetch_newest": fetch_sql(RAW, newest(5000)),
-        "fetch_relevant": fetch_sql(RAW, relevant(5000)),
-        "fetch_all": fetch_sql(RAW, f"SELECT * FROM ({newest(3000)}) UNION ALL SELECT * FROM ({relevant(3000)})"),
+        "fetch_newest": fetch_sql(RAW, newest(20)),
+        "fetch_relevant": fetch_sql(RAW, relevant(20)),
+        "fetch_all": fetch_sql(RAW, f"SELECT * FROM ({newest(20)}) UNION ALL SELECT * FROM ({relevant(20)})"),
         "latest_slice": f"""WITH {LABELED} SELECT row_id AS id, content, score, {code('label')} AS label, thumbsUpCount AS thumbs_up_count
-            FROM labeled ORDER BY row_id DESC LIMIT 35000""",
-        "dedup_reviews": f"""WITH {RAW} SELECT app_id, {text_hash('content')} AS reviewId, score, thumbsUpCount, row_id FROM raw
+            FROM labeled ORDER BY row_id DESC LIMIT 300""",
+        "dedup_reviews": f"""WITH {RAW} SELECT app_id, {text_hash('content')} AS reviewId, content, score, thumbsUpCount, row_id FROM raw
             QUALIFY row_number() OVER (PARTITION BY app_id, {text_hash('content')} ORDER BY thumbsUpCount DESC, row_id) = 1""",
-        "seeded_sample": f"""WITH {RAW} SELECT app_id, row_id, row_number() OVER (PARTITION BY app_id ORDER BY md5('42:' || reviewId)) AS sample_pos
-            FROM raw QUALIFY sample_pos <= 4000""",
+        "seeded_sample": f"""WITH {RAW} SELECT app_id, row_id, content, row_number() OVER (PARTITION BY app_id ORDER BY md5('42:' || reviewId)) AS sample_pos
+            FROM raw QUALIFY sample_pos <= 20""",
         "sample_apps": """SELECT source AS app_id, count(*) AS reviews, md5('42:' || source) AS app_order,
               ['all_reviews', 'new_reviews', 'relevant_reviews'][CAST('0x' || substr(md5('42:strategy:' || source), 1, 4) AS INTEGER) % 3 + 1] AS strategy
             FROM documents GROUP BY source ORDER BY app_order LIMIT 2""",
         "fetch_sampled_apps": f"""WITH {RAW}, apps AS (SELECT source AS app_id,
               ['all_reviews', 'new_reviews', 'relevant_reviews'][CAST('0x' || substr(md5('42:strategy:' || source), 1, 4) AS INTEGER) % 3 + 1] AS strategy
               FROM documents GROUP BY source ORDER BY md5('42:' || source) LIMIT 2
-            ), both_ AS (SELECT * FROM ({newest(5000)}) UNION ALL SELECT * FROM ({relevant(5000)})
+            ), both_ AS (SELECT * FROM ({newest(20)}) UNION ALL SELECT * FROM ({relevant(20)})
             ), picked AS (SELECT both_.*, strategy FROM both_ JOIN apps USING (app_id) WHERE (strategy = 'new_reviews' AND src_rank = 0)
-              OR (strategy = 'relevant_reviews' AND src_rank = 1) OR (strategy = 'all_reviews' AND pos <= 3000)
+              OR (strategy = 'relevant_reviews' AND src_rank = 1) OR strategy = 'all_reviews'
             ), uniq AS (SELECT * FROM picked QUALIFY row_number() OVER (PARTITION BY app_id, reviewId ORDER BY src_rank, pos) = 1)
-            SELECT app_id, strategy, row_id, src_rank, pos, row_number() OVER (PARTITION BY app_id ORDER BY md5('42:' || reviewId)) AS sample_pos
-            FROM uniq QUALIFY sample_pos <= 4000""",
-        "cap_per_sentiment": f"""WITH {SENTIMENT} SELECT app_id, sentiment, row_id FROM felt
-            QUALIFY sentiment IS NULL OR row_number() OVER (PARTITION BY app_id, sentiment ORDER BY md5('42:' || row_id)) <= 400""",
+            SELECT app_id, strategy, row_id, content, src_rank, pos, row_number() OVER (PARTITION BY app_id ORDER BY md5('42:' || reviewId)) AS sample_pos
+            FROM uniq QUALIFY sample_pos <= 25""",
+        "cap_per_sentiment": f"""WITH {SENTIMENT} SELECT app_id, sentiment, row_id, content FROM felt
+            QUALIFY sentiment IS NULL OR row_number() OVER (PARTITION BY app_id, sentiment ORDER BY md5('42:' || row_id)) <= 5""",
         "strip_html": f"SELECT page_id, regexp_replace(html, '{TAG_PATTERN}', ' ', 'g') AS plain FROM pages",
         "strip_urls": f"SELECT page_id, regexp_replace('at ' || url || chr(8195) || 'or www.' || url, '{URL_PATTERN}', ' ', 'g') AS plain FROM pages",
         "strip_emoji": f"WITH {PAGES} SELECT row_id, regexp_replace(content, '{SYMBOL_PATTERN}', ' ', 'g') AS plain FROM messy",
@@ -283,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
         "safe_int": """SELECT event_id, CAST(trunc(value) AS INTEGER) AS from_double, CAST(floor(value) AS INTEGER) AS from_padded,
             CAST(NULL AS INTEGER) AS from_decimal, CAST(NULL AS INTEGER) AS from_word, CAST(-floor(value) AS INTEGER) AS from_signed FROM events""",
         "safe_label": f"WITH {GAPPY} SELECT row_id, {label_code("(' ' || upper(label) || chr(160))")} AS from_text, score AS from_number FROM gappy",
-        "prepare_rows": f"""WITH {GAPPY} SELECT row_id, score, thumbsUpCount AS thumbs_up_count, {label_code('label')} AS label,
+        "prepare_rows": f"""WITH {GAPPY} SELECT row_id, content, score, thumbsUpCount AS thumbs_up_count, {label_code('label')} AS label,
               {text_hash('content')} AS content_hash, 'app_reviews' AS source, '00000000-0000-0000-0000-000000000001' AS ingestion_batch_id,
               TIMESTAMP '2024-01-01 00:00:00' AS ingested_at FROM gappy WHERE {strip('content')} <> ''""",
         "lake_append": f"WITH {BATCHED} SELECT row_id, content_hash, source, ingestion_batch_id, score, thumbs_up_count, label FROM inserted",
@@ -306,7 +363,7 @@ def oracle_sql() -> dict[str, str]:
         "top_reviews": f"WITH {TOP} SELECT app_id, sentiment, rank, content, thumbsUpCount FROM top",
         "top_by_label": f"WITH {TOP} SELECT app_id, sentiment AS label, rank, content, thumbsUpCount FROM top",
         "top_reviews_nested": f"""WITH {TOP}, {GRID}, listed AS (SELECT app_id, sentiment,
-              string_agg('{{"content":"' || reviewId || '","thumbsUpCount":' || thumbsUpCount || '}}', ',' ORDER BY rank) AS j FROM top GROUP BY ALL)
+              string_agg('{{"content":"' || sha256(content) || '","thumbsUpCount":' || thumbsUpCount || '}}', ',' ORDER BY rank) AS j FROM top GROUP BY ALL)
             SELECT app_id, '{{' || string_agg('"' || sentiment || '":[' || COALESCE(j, '') || ']', ',' ORDER BY sentiment) || '}}' AS top_reviews_json
             FROM grid LEFT JOIN listed USING (app_id, sentiment) GROUP BY app_id""",
         "topic_summary": f"WITH {clustered_topics} SELECT * FROM summed",
@@ -316,29 +373,39 @@ def oracle_sql() -> dict[str, str]:
               round(percentage / greatest(max(percentage) OVER (PARTITION BY app_id, sentiment), 1.0) * 100, 4) AS bar_width FROM summed""",
         "top_clusters": f"""WITH {CLUSTERED}, ranked AS (SELECT app_id, sentiment, cluster + 1 AS cluster,
               row_number() OVER (PARTITION BY app_id, sentiment ORDER BY count(*) DESC, cluster) AS place FROM clustered GROUP BY app_id, sentiment, cluster)
-            SELECT row_id, c.app_id, c.sentiment, CASE WHEN place <= 3 THEN r.cluster ELSE -1 END AS cluster
+            SELECT row_id, content, c.app_id, c.sentiment, CASE WHEN place <= 3 THEN r.cluster ELSE -1 END AS cluster
             FROM clustered c JOIN ranked r ON c.app_id = r.app_id AND c.sentiment = r.sentiment AND c.cluster + 1 = r.cluster""",
         "cluster_stats": f"""WITH {CLUSTERED} SELECT app_id, sentiment, count(*) AS n_rows, count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters,
               count(*) FILTER (cluster = -1) AS n_noise, round_even(count(*) FILTER (cluster = -1) / count(*) * 100, 1) AS noise_pct
             FROM clustered GROUP BY app_id, sentiment""",
         "keyword_list": f"""WITH {CLUSTERED}, names AS (SELECT DISTINCT app_id, sentiment, cluster, topic FROM clustered WHERE cluster <> -1)
             SELECT app_id, sentiment, string_agg(replace(topic, ' | ', '; '), '; ' ORDER BY cluster) AS keywords FROM names GROUP BY app_id, sentiment""",
-        "analysis_result": f"""WITH {CLUSTERED}, {TOP_BODY}, {SHARES}, {TOPICS}
+        "analysis_result": f"""WITH {HALF_TOPICS}, {TOP_BODY}, {SHARES}, {TOPICS}, {GRID}, {TOP_LISTS}, {TOPIC_LISTS}
             SELECT app_id, 'new_reviews' AS scraping_method, count(*) AS review_count,
               {', '.join(f"(SELECT pct FROM shares s WHERE s.app_id = f.app_id AND COALESCE(s.sentiment, 'unknown') = '{c}') AS pct_{c}" for c in ['positive', 'neutral', 'negative', 'unknown'])},
-              (SELECT CAST(count(*) AS INTEGER) FROM top t WHERE t.app_id = f.app_id AND sentiment = 'positive') AS top_positive,
-              (SELECT CAST(count(*) AS INTEGER) FROM top t WHERE t.app_id = f.app_id AND sentiment = 'negative') AS top_negative,
-              COALESCE((SELECT topic FROM summed z WHERE z.app_id = f.app_id AND sentiment = 'positive' AND rank = 1), '') AS main_topic,
+              (SELECT j FROM top_maps t WHERE t.app_id = f.app_id) AS top_reviews, (SELECT j FROM topic_maps t WHERE t.app_id = f.app_id) AS topic_summary,
               '' AS llm_insight FROM felt f GROUP BY app_id""",
-        "review_block": f"WITH {BLOCKS} SELECT app_id, sentiment, block FROM blocks",
-        "insight_prompt": f"""WITH {CLUSTERED}, {TOP_BODY}, {BLOCKS_BODY}, {TOPICS}, entries AS (
-              SELECT app_id, sentiment, '"' || sentiment || '":[' || string_agg('{{"topic":"' || topic || '","count":' || "count" || ',"percentage":' || percentage || '}}', ',' ORDER BY rank) || ']' AS e
-              FROM summed GROUP BY app_id, sentiment
-            ), jsons AS (SELECT app_id, '{{' || string_agg(e, ',' ORDER BY sentiment) || '}}' AS topics FROM entries GROUP BY app_id
-            ), wide AS (SELECT app_id, max(block) FILTER (sentiment = 'positive') AS positive, max(block) FILTER (sentiment = 'neutral') AS neutral,
-              max(block) FILTER (sentiment = 'negative') AS negative FROM blocks GROUP BY app_id
-            ), filled AS (SELECT wide.*, COALESCE(topics, '{{}}') AS topics FROM wide LEFT JOIN jsons USING (app_id))
-            SELECT app_id, {prompt_sql()} AS prompt FROM filled""",
+        "review_block": f"WITH {HALF}, {TOP_BODY}, {BLOCKS_BODY} SELECT app_id, sentiment, block FROM blocks",
+        "insight_prompt": f"WITH {PROMPTS} SELECT app_id, prompt FROM prompts",
+        "completion": f"WITH {PROMPTS} SELECT app_id, length(prompt) || ': ' || right(prompt, 3) AS insight FROM prompts",
+        "csv_reviews": """SELECT 'say "' || regexp_replace(text, '[\\r\\n]', ' ', 'g') || '", done' AS content,
+              CASE WHEN doc_id % 10 <> 0 THEN CAST(n_chars % 5 AS INTEGER) END AS score, CAST(doc_id AS INTEGER) AS thumbsUpCount, source AS label FROM documents""",
+        "metrics_by_split": f"""WITH {SPLIT}, hits AS (SELECT split, {code('label')} AS label, score % 3 AS prediction FROM splitted
+            ), sides AS (SELECT split, label AS cls, 1 AS support, CAST(label = prediction AS INTEGER) AS tp, 0 AS predicted FROM hits
+              UNION ALL SELECT split, prediction, 0, 0, 1 FROM hits
+            ), classes AS (SELECT split, cls, sum(support) AS support, sum(tp) AS tp,
+                CASE WHEN sum(predicted) > 0 THEN sum(tp) / sum(predicted) ELSE 0 END AS precision,
+                CASE WHEN sum(support) > 0 THEN sum(tp) / sum(support) ELSE 0 END AS recall,
+                CASE WHEN sum(predicted) + sum(support) > 0 THEN 2 * sum(tp) / (sum(predicted) + sum(support)) ELSE 0 END AS f1
+              FROM sides GROUP BY split, cls)
+            SELECT split, round(sum(tp) / sum(support), 9) AS accuracy, {', '.join(f'round(sum({m} * support) / sum(support), 9) AS {m}' for m in ['precision', 'recall', 'f1'])},
+              CAST(sum(support) AS BIGINT) AS n FROM classes GROUP BY split""",
+        "svm_converged": f"""WITH {LABELED} SELECT {code('label')} AS label, count(*) AS n, true AS converged FROM labeled
+            WHERE label IS NOT NULL AND {clean('content')} <> '' GROUP BY label""",
+        "group_moments": """WITH sided AS (SELECT CASE WHEN label < 5 THEN 'positive' ELSE 'negative' END AS sentiment, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            ), axes AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS i)
+            SELECT 'all' AS app_id, sentiment, count(*) AS n, a.i, b.i AS j, round(avg(v[a.i + 1]), 6) AS mean,
+              round(avg(v[a.i + 1] * v[b.i + 1]) - avg(v[a.i + 1]) * avg(v[b.i + 1]), 6) AS cov FROM sided, axes a, axes b GROUP BY sentiment, a.i, b.i""",
         "ngrams": f"WITH {RAW}, occ AS ({occ}) SELECT row_id, term, count(*) AS tf FROM occ GROUP BY row_id, term",
         "vocabulary": f"WITH {RAW}, occ AS ({occ}), vocab AS ({vocab('occ', 'raw')}) SELECT term, df, n_docs, round(idf, 6) AS idf FROM vocab",
         "tfidf_weights": f"""WITH {RAW}, occ AS ({occ}), vocab AS ({vocab('occ', 'raw')}), weighted AS ({weights('occ', 'vocab')})
@@ -381,6 +448,11 @@ def oracle_sql() -> dict[str, str]:
         "cluster_params": f"""WITH {LANG_FELT}, sized AS (SELECT *, CAST(greatest(15, least(80, floor(n * 0.02))) AS INTEGER) AS min_cluster_size FROM sizes)
             SELECT *, CAST(greatest(5, min_cluster_size // 5) AS INTEGER) AS min_samples FROM sized""",
         "density_core_points": DENSITY + "SELECT row_id, row_id IN (SELECT row_id FROM cores) AS core FROM points",
+        "density_blocked": DENSITY + """SELECT points.row_id, COALESCE(big.root, -1) AS cluster
+            FROM points LEFT JOIN roots USING (row_id) LEFT JOIN big ON big.root = roots.root""",
+        "topic_flow": f"""WITH RECURSIVE {TOPIC_FLOW}, {keywords('placed')}, clustered AS (
+              SELECT placed.*, CASE WHEN cluster = -1 THEN 'Uncategorized' ELSE COALESCE(keywords, 'N/A') END AS topic
+              FROM placed LEFT JOIN named USING ({CLUSTER_KEYS})), {TOPICS} SELECT * FROM summed""",
         "density_clusters": DENSITY + """SELECT points.row_id, COALESCE(big.root, -1) AS cluster
             FROM points LEFT JOIN roots USING (row_id) LEFT JOIN big ON big.root = roots.root""",
         "cluster_text": f"WITH {CLUSTER_TEXT} SELECT * FROM texts",

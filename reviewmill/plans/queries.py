@@ -13,8 +13,8 @@ from reviewmill.functions.vectors import l2_normalize
 from reviewmill.operators import density, features, fetch, lake, metrics, model, registry, report, split, summary, topics
 from reviewmill.operators import freshness
 from reviewmill.operators.transform import drop_any_null, drop_blank, null_profile, transform_reviews
-from reviewmill.session import keep, scratch_path
-from reviewmill.sources import tables
+from reviewmill.session import cut_lineage, keep, scratch_path
+from reviewmill.sources import reviews, tables
 from reviewmill.streaming.ingest import ingest_stream
 
 QUERIES: dict = {}
@@ -24,6 +24,9 @@ BATCHES = [
     ("00000000-0000-0000-0000-000000000001", datetime(2024, 1, 1)),
     ("00000000-0000-0000-0000-000000000002", datetime(2024, 1, 2)),
 ]
+# k below the group sizes of the tables, so that every selection cuts
+FETCH = dict(newest_count=20, relevant_count=20, sample=25)
+SAMPLE, CAP, SLICE = 20, 5, 300
 CLUSTER_ARGS = dict(min_similarity=0.30, min_samples=2, min_cluster_size=5)
 
 
@@ -98,22 +101,38 @@ def training_runs(spark, d) -> DataFrame:
     )
 
 
+def half_felt(spark, d) -> DataFrame:
+    """Reviews of which every second app has no review of a known class."""
+    known = F.col("app_id").rlike("[02468]$")
+    return tables.with_sentiment(spark, d).withColumn("sentiment", F.when(known, F.col("sentiment")))
+
+
+def half_topics(spark, d) -> DataFrame:
+    """Clustered reviews of every third app, neutral ones in none."""
+    return tables.clustered(spark, d).filter(F.col("app_id").rlike("[0369]$") & (F.col("sentiment") != "neutral"))
+
+
+def hashed(top: DataFrame) -> DataFrame:
+    """Top reviews with their text's hash, taken after the choice, in place of the text."""
+    return top.withColumn("content", F.sha2("content", 256))
+
+
 # --- sources and fetching ----------------------------------------------------------
 
 
 @query
 def fetch_newest(spark, d):
-    return fetch.fetch(tables.raw_reviews(spark, d), "new_reviews").drop("content")
+    return fetch.fetch(tables.raw_reviews(spark, d), "new_reviews", **FETCH)
 
 
 @query
 def fetch_relevant(spark, d):
-    return fetch.fetch(tables.raw_reviews(spark, d), "relevant_reviews").drop("content")
+    return fetch.fetch(tables.raw_reviews(spark, d), "relevant_reviews", **FETCH)
 
 
 @query
 def fetch_all(spark, d):
-    return fetch.fetch(tables.raw_reviews(spark, d), "all_reviews").drop("content")
+    return fetch.fetch(tables.raw_reviews(spark, d), "all_reviews", **FETCH)
 
 
 @query
@@ -122,19 +141,33 @@ def latest_slice(spark, d):
         F.col("row_id").alias("id"), "content", "score", L.safe_label(F.col("label")).alias("label"),
         F.col("thumbsUpCount").alias("thumbs_up_count"),
     )
-    return fetch.latest_slice(rows)
+    return fetch.latest_slice(rows, SLICE)
+
+
+@query
+def csv_reviews(spark, d):
+    """documents landed as a CSV export and read back by name, with cells that mean missing."""
+    path = scratch_path(spark, "export")
+    cell = F.when(F.col("doc_id") % 10 == 0, "NULL").otherwise((F.col("n_chars") % 5).cast("string"))
+    flat = F.concat(F.lit('say "'), F.regexp_replace("text", r"[\r\n]", " "), F.lit('", done'))
+    landed = tables.table(spark, d, "documents").select(
+        F.col("source").alias("label"), flat.alias("content"), F.concat(cell, F.when(cell != "NULL", ".0").otherwise("")).alias("score"),
+        F.col("doc_id").alias("thumbsUpCount"),
+    )
+    landed.write.option("escape", '"').option("emptyValue", "").csv(path, header=True)
+    return reviews.read_reviews_csv(spark, path).select("content", "score", "thumbsUpCount", "label")
 
 
 @query
 def dedup_reviews(spark, d):
     """Copies of a text stand for repeated ids."""
     rows = tables.raw_reviews(spark, d).withColumn("reviewId", text.content_hash(F.col("content")))
-    return fetch.dedup_reviews(rows, [F.desc("thumbsUpCount"), F.asc("row_id")]).drop("content")
+    return fetch.dedup_reviews(rows, [F.desc("thumbsUpCount"), F.asc("row_id")])
 
 
 @query
 def seeded_sample(spark, d):
-    return fetch.seeded_sample(tables.raw_reviews(spark, d), 4000, 42).select("app_id", "row_id", "sample_pos")
+    return fetch.seeded_sample(tables.raw_reviews(spark, d), SAMPLE, 42).select("app_id", "row_id", "content", "sample_pos")
 
 
 @query
@@ -144,14 +177,14 @@ def sample_apps(spark, d):
 
 @query
 def fetch_sampled_apps(spark, d):
-    return fetch.fetch_sampled_apps(tables.raw_reviews(spark, d), 2, 42).select(
-        "app_id", "strategy", "row_id", "src_rank", "pos", "sample_pos"
+    return fetch.fetch_sampled_apps(tables.raw_reviews(spark, d), 2, 42, **FETCH).select(
+        "app_id", "strategy", "row_id", "content", "src_rank", "pos", "sample_pos"
     )
 
 
 @query
 def cap_per_sentiment(spark, d):
-    return fetch.cap_per_sentiment(tables.with_sentiment(spark, d)).select("app_id", "sentiment", "row_id")
+    return fetch.cap_per_sentiment(tables.with_sentiment(spark, d), CAP).select("app_id", "sentiment", "row_id", "content")
 
 
 # --- text ---------------------------------------------------------------------------
@@ -269,7 +302,7 @@ def safe_label(spark, d):
 
 @query
 def prepare_rows(spark, d):
-    return lake.prepare_rows(gappy_reviews(spark, d), SOURCE, *BATCHES[0]).drop("content")
+    return lake.prepare_rows(gappy_reviews(spark, d), SOURCE, *BATCHES[0])
 
 
 @query
@@ -329,8 +362,8 @@ def top_by_label(spark, d):
 
 @query
 def top_reviews_nested(spark, d):
-    rows = tables.with_sentiment(spark, d).withColumn("content", F.col("reviewId"))
-    return summary.top_reviews_nested(summary.top_reviews(rows)).select("app_id", "top_reviews_json")
+    rows = tables.with_sentiment(spark, d)
+    return summary.top_reviews_nested(hashed(summary.top_reviews(rows)), rows).select("app_id", "top_reviews_json")
 
 
 @query
@@ -346,7 +379,7 @@ def report_topics(spark, d):
 @query
 def top_clusters(spark, d):
     rows = tables.clustered(spark, d).withColumn("cluster", F.col("cluster") + 1)
-    return summary.keep_top_clusters(rows).select("row_id", "app_id", "sentiment", "cluster")
+    return summary.keep_top_clusters(rows).select("row_id", "app_id", "sentiment", "cluster", "content")
 
 
 @query
@@ -362,11 +395,12 @@ def keyword_list(spark, d):
 
 @query
 def analysis_result(spark, d):
-    rows = tables.with_sentiment(spark, d)
-    top = summary.top_reviews(rows)
-    names = summary.topic_summary(tables.clustered(spark, d))
+    """Records of all apps, both maps as JSON; some apps have no review of a known class."""
+    rows = half_felt(spark, d)
+    top = cut_lineage(hashed(summary.top_reviews(rows)))
+    names = cut_lineage(summary.topic_summary(half_topics(spark, d)))
     out = report.analysis_result(
-        rows, rows, summary.sentiment_percentages(rows), summary.top_reviews_nested(top), names, None, "new_reviews"
+        rows, rows, summary.sentiment_percentages(rows), summary.top_reviews_nested(top, rows), names, None, "new_reviews"
     )
     shares = F.col("sentiment_percentages")
     return out.select(
@@ -374,22 +408,33 @@ def analysis_result(spark, d):
         "scraping_method",
         "review_count",
         *[shares[c].alias(f"pct_{c}") for c in ["positive", "neutral", "negative", "unknown"]],
-        F.size(F.col("top_reviews")["positive"]).alias("top_positive"),
-        F.size(F.col("top_reviews")["negative"]).alias("top_negative"),
-        F.coalesce(F.col("topic_summary")["positive"][0]["topic"], F.lit("")).alias("main_topic"),
+        F.to_json("top_reviews").alias("top_reviews"),
+        F.to_json("topic_summary").alias("topic_summary"),
         "llm_insight",
     )
 
 
 @query
 def review_block(spark, d):
-    return report.review_block(summary.top_reviews(tables.with_sentiment(spark, d)))
+    rows = half_felt(spark, d)
+    return report.review_block(summary.top_reviews(rows), rows)
+
+
+def half_prompts(spark, d) -> DataFrame:
+    rows = half_felt(spark, d)
+    return report.insight_prompt(summary.top_reviews(rows), summary.topic_summary(half_topics(spark, d)), rows)
 
 
 @query
 def insight_prompt(spark, d):
-    top = summary.top_reviews(tables.with_sentiment(spark, d))
-    return report.insight_prompt(top, summary.topic_summary(tables.clustered(spark, d)))
+    return half_prompts(spark, d)
+
+
+@query
+def completion(spark, d):
+    """Every app's prompt answered by a stand-in for the language model."""
+    answered = report.complete(half_prompts(spark, d), lambda: (lambda prompt: f"{len(prompt)}: {prompt[-3:]}"))
+    return answered.select("app_id", "insight")
 
 
 # --- features and split ----------------------------------------------------------------
@@ -521,10 +566,28 @@ def score_reviews(spark, d):
     """Train on the training split of the labelled reviews, score every review."""
     rows = keep(transform_reviews(tables.labeled(spark, d)).select("row_id", "content", "label"))
     train = split.with_split(rows).filter("split = 'train'")
-    fitted = model.train_svm(train, params=model.SvmParams(max_iter=30))
+    fitted = model.train_svm(train)
     return model.score_reviews(tables.raw_reviews(spark, d), fitted).select("row_id", "app_id", "label", "sentiment")
 
 
+@query
+def metrics_by_split(spark, d):
+    """Train and test measures side by side."""
+    rows = guessed(spark, d).join(split.with_split(tables.labeled(spark, d)).select("row_id", "split"), "row_id")
+    out = metrics.weighted_metrics(rows, by=["split"])
+    return out.select("split", *[F.round(m, 9).alias(m) for m in ["accuracy", "precision", "recall", "f1"]], "n")
+
+
+@query
+def svm_converged(spark, d):
+    """Training runs to convergence in every class of the labelled reviews."""
+    rows = keep(transform_reviews(tables.labeled(spark, d)).select("row_id", "content", "label"))
+    fitted = model.train_svm(rows)
+    done = spark.createDataFrame(list(zip(fitted.classes, fitted.converged)), "label int, converged boolean")
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(F.broadcast(done), "label")  # one row per class
+
+
 # --- topics ---------------------------------------------------------------------------------
 
 
@@ -556,13 +619,48 @@ def density_clusters(spark, d):
     return out.select("row_id", "cluster")
 
 
-@query
-def reduced_vectors(spark, d):
-    rows = tables.table(spark, d, "embeddings").select(
+def sided_vectors(spark, d) -> DataFrame:
+    return tables.table(spark, d, "embeddings").select(
         F.col("vec_id").alias("row_id"), F.lit("all").alias("app_id"),
         F.when(F.col("label") < 5, "positive").otherwise("negative").alias("sentiment"), F.col("embedding").alias("vector"),
     )
-    return topics.reduce_vectors(rows).select("row_id", F.size("vector").alias("dims"), F.posexplode("vector").alias("at", "v"))
+
+
+@query
+def group_moments(spark, d):
+    """Mean and covariance of each group, from which its reduction is made."""
+    out = topics.group_moments(sided_vectors(spark, d))
+    size, n = F.size("total"), F.col("n")
+    mean = lambda i: F.get("total", i) / n
+    each = out.select("app_id", "sentiment", "n", "total", size.alias("d"), F.posexplode("products").alias("at", "p"))
+    row, col = F.floor(F.col("at") / F.col("d")).cast("int"), (F.col("at") % F.col("d")).cast("int")
+    return each.select(
+        "app_id", "sentiment", "n", row.alias("i"), col.alias("j"),
+        F.round(mean(row), 6).alias("mean"), F.round(F.col("p") / n - mean(row) * mean(col), 6).alias("cov"),
+    )
+
+
+@query
+def density_blocked(spark, d):
+    """density_clusters with groups cut into many blocks."""
+    out = density.density_clusters(grouped_vectors(spark, d), ["grp"], block_rows=50, **CLUSTER_ARGS)
+    return out.select("row_id", "cluster")
+
+
+@query
+def topic_flow(spark, d):
+    """The whole topic flow on given vectors: fixed reach, no reduction, down to the topic table."""
+    rows = tables.with_sentiment(spark, d).select(
+        F.lit("all").alias("app_id"), "row_id", F.when(F.col("row_id") % 2 == 0, "positive").otherwise("negative").alias("sentiment"), "content"
+    )
+    vectors = tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    named = topics.cluster_topics(rows, vectors, reduce_dims=None, max_clusters=2, **CLUSTER_ARGS)
+    return summary.topic_summary(named)
+
+
+@query
+def reduced_vectors(spark, d):
+    return topics.reduce_vectors(sided_vectors(spark, d)).select("row_id", F.size("vector").alias("dims"), F.posexplode("vector").alias("at", "v"))
 
 
 @query
@@ -572,15 +670,14 @@ def cluster_text(spark, d):
 
 @query
 def cluster_keywords(spark, d):
-    scores = topics.keyphrase_scores(topics.cluster_text(tables.clustered(spark, d)))
-    out = topics.pick_keyphrases(scores, diversity=0.0)
+    out = topics.pick_keyphrases(topics.keyphrase_scores(tables.clustered(spark, d)))
     return out.select("app_id", "sentiment", "cluster", F.array_join("keywords", " | ").alias("keywords"))
 
 
 @query
 def topic_names(spark, d):
     rows = tables.clustered(spark, d)
-    words = topics.pick_keyphrases(topics.keyphrase_scores(topics.cluster_text(rows)), diversity=0.0)
+    words = topics.pick_keyphrases(topics.keyphrase_scores(rows))
     return topics.topic_names(rows, words)
 
 
@@ -593,7 +690,7 @@ def by_language(spark, d) -> DataFrame:
 
 @query
 def review_topics(spark, d):
-    """Cap, embed, cluster and name end to end, then the topic table."""
+    """Embed, cluster and name all eligible reviews end to end, then the topic table."""
     named = topics.cluster_topics(by_language(spark, d), encode=features.hashed_vectors)
     return summary.topic_summary(named)
 

@@ -16,12 +16,13 @@ MISSING = [
 
 
 def read_reviews_csv(
-    spark: SparkSession, path: str, schema: T.StructType = LABELED_CSV, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType = LABELED_CSV, multi_line: bool = False
 ) -> DataFrame:
     """A CSV export with a header, columns found by name; a missing path is an error.
 
-    Quoted line breaks need multi_line, which reads each file in one task: land large
-    exports as many files. `row_id` follows file order.
+    Quoted line breaks need multi_line, which reads each file in one task: land large exports as
+    many files. `row_id` rises along each file; between files its order is Spark's choice of
+    splits, so keep what must be ordered in one file.
     """
     raw = spark.read.csv(
         path, header=True, multiLine=multi_line, quote='"', escape='"', ignoreLeadingWhiteSpace=False,

@@ -61,7 +61,7 @@ if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
     from reviewmill.session import build_session
 
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+    spark = build_session(f"local[{os.environ.get('CPUS', '8')}]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir, names = sys.argv[1], sys.argv[2:]
     con, sql = duck(sf_dir), oracle_sql()

@@ -34,6 +34,13 @@ def test_stratified_split(spark):
     assert pick(out) == pick(split.with_split(df.repartition(5)))
 
 
+def test_counted_terms(spark):
+    lists = [[], ["a"], ["b", "a", "b"], ["x"] * 5, list("hello world")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "i int, terms array<string>")
+    for r in df.select("i", features.counted_terms(F.col("terms")).alias("c")).collect():
+        assert {e["term"]: e["tf"] for e in r["c"] or []} == Counter(lists[r["i"]])
+
+
 def test_split_falls_back_on_rare_class(spark):
     df = spark.createDataFrame([(i, f"t{i}", "x" if i else "rare") for i in range(10)] + [(98, None, "x"), (99, "t", None)], "row_id long, content string, label string")
     out = split.with_split(df)
@@ -82,7 +89,7 @@ def test_metrics(spark):
 
 @pytest.fixture(scope="module")
 def trained(spark):
-    return model.train_svm(labelled(spark), params=model.SvmParams(max_iter=40))
+    return model.train_svm(labelled(spark))
 
 
 def test_training_and_scoring(spark, trained, tmp_path):
@@ -97,6 +104,7 @@ def test_training_and_scoring(spark, trained, tmp_path):
     again = {r["row_id"]: r["label"] for r in model.score_reviews(df, model.load_model(spark, str(tmp_path / "m"))).collect()}
     assert again == {i: r["label"] for i, r in got.items()}
     assert model.score_reviews(df.limit(0), trained).count() == 0
+    assert trained.converged == [True, True, True] == model.load_model(spark, str(tmp_path / "m")).converged
     big = model.LinearModel(trained.weights, trained.classes, trained.intercepts, 10**9)  # too large to broadcast
     assert {r["row_id"]: r["label"] for r in model.score_reviews(df, big).collect()} == again
     with pytest.raises(ReviewDataError):
@@ -173,12 +181,15 @@ def test_group_floor_and_reduction(spark):
     wide = vectors(spark, x).select(F.lit("a").alias("app_id"), F.lit("positive").alias("sentiment"), "row_id", "vector")
     reduced = {r["row_id"]: r["vector"] for r in topics.reduce_vectors(wide).collect()}
     assert all(len(v) == 10 for v in reduced.values())
-    c = np.cov(x.T)
+    c = np.cov(x.T, bias=True)
     basis = np.linalg.eigh(c)[1][:, ::-1][:, :10]
     got, want = np.array([reduced[i] for i in range(len(x))]), x @ basis
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
-    small = wide.limit(20)
-    assert {len(r["vector"]) for r in topics.reduce_vectors(small).collect()} == {16}
+    assert {len(r["vector"]) for r in topics.reduce_vectors(wide, dims=None).collect()} == {16}
+    # another app, small or large, changes nothing
+    other = wide.withColumns({"app_id": F.lit("b"), "row_id": F.col("row_id") + 1000, "vector": F.transform("vector", lambda v: v * v)})
+    both = {r["row_id"]: r["vector"] for r in topics.reduce_vectors(wide.unionByName(other)).filter("app_id = 'a'").collect()}
+    assert all(np.allclose(both[i], reduced[i]) for i in range(len(x)))
 
 
 def test_embedding_reuse(spark):
@@ -216,9 +227,10 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert result.champion_updated and len(result.metrics) == 8 and result.metrics["test_f1"] > 0.5
     champion = registry.resolve_champion(spark, f"{models}/runs")
     apps = raw.select("app_id").union(spark.createDataFrame([("empty",)], "app_id string"))
-    out = {r["app_id"]: r for r in analyze(raw, champion, "all_reviews", apps=apps, cap=40, min_rows=5, min_samples=2, min_cluster_size=2).collect()}
+    out = {r["app_id"]: r for r in analyze(raw, champion, "all_reviews", apps=apps, min_rows=5, min_samples=2, min_cluster_size=2).collect()}
     assert out["app1"]["review_count"] == out["app2"]["review_count"] == 30
     assert abs(sum(out["app1"]["sentiment_percentages"].values()) - 100) < 0.1
     assert len(out["app1"]["top_reviews"]["positive"]) == 5
+    assert sorted(out["app1"]["topic_summary"]) == sorted(out["app1"]["top_reviews"]) == ["negative", "neutral", "positive"]
     assert out["empty"]["review_count"] == 0 and out["empty"]["sentiment_percentages"] == {} and out["empty"]["llm_insight"] == ""
     assert out["empty"]["top_reviews"] == {} and out["empty"]["topic_summary"] == {}

@@ -32,7 +32,7 @@ def test_top_reviews(spark):
     df = felt(spark, [("positive", f"p{i}", v) for i, v in enumerate([3, 9, None, 9, 1, 4, 9])] + [("other", "o", 99)])
     got = [(r["rank"], r["content"]) for r in summary.top_reviews(df).orderBy("rank").collect()]
     assert got == [(1, "p1"), (2, "p3"), (3, "p6"), (4, "p5"), (5, "p0")]
-    nested = summary.top_reviews_nested(summary.top_reviews(df)).first()["top_reviews"]
+    nested = summary.top_reviews_nested(summary.top_reviews(df), df).first()["top_reviews"]
     assert sorted(nested) == ["negative", "neutral", "positive"] and nested["negative"] == [] and len(nested["positive"]) == 5
 
 
@@ -107,11 +107,12 @@ def test_keyphrases(spark):
     noise = felt(spark, [("positive", "noise words", 1)]).withColumn("cluster", F.lit(-1).cast("long")).withColumn("row_id", F.lit(99).cast("long"))
     rows = df.unionByName(noise)
     texts = topics.cluster_text(rows)
+    assert [r["cluster_text"] for r in topics.cluster_text(rows, chars=7).collect()] == ["battery"]
     assert [r["cluster_text"] for r in texts.collect()] == ["battery life is great battery life the battery charging is slow"]
-    names = {r["cluster"]: r["topic"] for r in topics.topic_names(rows, topics.pick_keyphrases(topics.keyphrase_scores(texts))).collect()}
+    names = {r["cluster"]: r["topic"] for r in topics.topic_names(rows, topics.pick_keyphrases(topics.keyphrase_scores(rows))).collect()}
     assert names[-1] == "Uncategorized" and len(names[0].split(" | ")) == 3
     empty = felt(spark, [("positive", "of the", 1)]).withColumn("cluster", F.lit(4).cast("long"))
-    none = topics.pick_keyphrases(topics.keyphrase_scores(topics.cluster_text(empty)))
+    none = topics.pick_keyphrases(topics.keyphrase_scores(empty))
     assert topics.topic_names(empty, none).first()["topic"] == "N/A"
 
 
@@ -137,12 +138,15 @@ def test_mmr_matches_brute_force(spark, diversity):
 def test_review_block_and_prompt(spark):
     df = felt(spark, [("positive", " line\none ", 7), ("positive", "  ", 9), ("negative", "bad {topics} 100%", 2)])
     top = summary.top_reviews(df)
-    blocks = {r["sentiment"]: r["block"] for r in report.review_block(top).collect()}
+    blocks = {r["sentiment"]: r["block"] for r in report.review_block(top, df).collect()}
     assert blocks == {"positive": "- (7 upvotes) line one", "neutral": "No reviews available.", "negative": "- (2 upvotes) bad {topics} 100%"}
     no_topics = spark.createDataFrame([], "app_id string, sentiment string, rank int, topic string, count long, percentage double")
-    prompt = report.insight_prompt(top, no_topics).first()["prompt"]
+    prompt = report.insight_prompt(top, no_topics, df).first()["prompt"]
     assert "bad {topics} 100%" in prompt and "{positive}" not in prompt
-    answered = report.complete(report.insight_prompt(top, no_topics), lambda: (lambda p: f"seen {len(p)}"))
+    silent = df.withColumn("app_id", F.lit("b"))  # an app without a review of a known class
+    said = {r["app_id"]: r["prompt"] for r in report.insight_prompt(top, no_topics, df.unionByName(silent)).collect()}
+    assert said["a"] == prompt and said["b"].count("No reviews available.") == 3 and '"neutral":[]' in said["b"]
+    answered = report.complete(report.insight_prompt(top, no_topics, df), lambda: (lambda p: f"seen {len(p)}"))
     assert answered.first()["insight"] == f"seen {len(prompt)}"
 
 
