@@ -581,7 +581,7 @@ def metrics_by_split(spark, d):
 @query
 def svm_converged(spark, d):
     """Training runs to convergence in every class of the labelled reviews."""
-    rows = keep(transform_reviews(tables.labeled(spark, d)).select("row_id", "content", "label"))
+    rows = keep(transform_reviews(tables.labeled(spark, d)).select("row_id", "content", "label").filter("label IS NOT NULL"))
     fitted = model.train_svm(rows)
     done = spark.createDataFrame(list(zip(fitted.classes, fitted.converged)), "label int, converged boolean")
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -70,7 +70,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_csv(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text('content,score,thumbsUpCount,label\n"two\nlines, ""quoted""",5,3,positive\nN/A,,7.0,NA\nplain,x,1,neutral\n')
-    rows = read_reviews_csv(spark, str(path)).orderBy("row_id").collect()
+    rows = read_reviews_csv(spark, str(path), multi_line=True).orderBy("row_id").collect()
     assert [tuple(r)[:4] for r in rows] == [
         ('two\nlines, "quoted"', 5, 3, "positive"), (None, None, 7, None), ("plain", None, 1, "neutral"),
     ]
