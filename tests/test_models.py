@@ -234,3 +234,19 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert sorted(out["app1"]["topic_summary"]) == sorted(out["app1"]["top_reviews"]) == ["negative", "neutral", "positive"]
     assert out["empty"]["review_count"] == 0 and out["empty"]["sentiment_percentages"] == {} and out["empty"]["llm_insight"] == ""
     assert out["empty"]["top_reviews"] == {} and out["empty"]["topic_summary"] == {}
+
+
+def test_far_cells_do_not_meet(spark):
+    """Tight, distant groups: most block pairs are ruled out, for a fixed reach and for the default one."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + 0.01 * rng.normal(size=(60, 8)) for c in 10 * rng.normal(size=(10, 8))])
+    points = vectors(spark, x).select("grp", F.col("row_id").alias("_id"), F.col("vector").alias("_vec")).withColumns(
+        {"_w": F.lit(1).cast("long"), "_ms": F.lit(3), "_mcs": F.lit(5)}
+    )
+    celled, pivots = density._cells(points, ["grp"], 40)
+    gaps = density._gaps(celled, pivots, ["grp"])
+    every, near = gaps.count(), density._within(gaps, F.lit(0.2)).count()
+    assert near < every / 3
+    assert density._median_reach(celled, gaps, ["grp"]).count() == 1
+    whole = {tuple(r) for r in density.density_clusters(vectors(spark, x), ["grp"], block_rows=5000).collect()}
+    assert whole == {tuple(r) for r in density.density_clusters(vectors(spark, x), ["grp"], block_rows=40).collect()}
