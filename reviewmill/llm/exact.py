@@ -78,12 +78,13 @@ def exact_groups(docs: DataFrame, mark: Callable[[Column], Column] = fingerprint
             "doc_id", "text_sha256", "recipe", F.coalesce("fixes", F.array().cast("array<struct<at:int,ordinal:int>>")).alias("fixes")
         )
     recipes = cut_lineage(recipes)
-    groups = (
+    # written, so that the join deals out both sides itself and can split a hot group's rows
+    groups = cut_lineage(
         recipes.groupBy("recipe", "fixes")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
     )
-    # left: a row alone in its group needs no partner; a hot group is split by skew handling
+    # left: a row alone in its group needs no partner
     joined = recipes.join(groups, ["recipe", "fixes"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(

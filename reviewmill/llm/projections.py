@@ -145,7 +145,7 @@ def vector_links(distinct: DataFrame, windows: Windows) -> DataFrame:
     """(rep, n, root) per vector and pair of blocks; never pairs of vectors."""
     place = ["label", "dims", "cell"]
     celled = cut_lineage(cells_of(distinct, windows))
-    counts = celled.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("parts"))
+    counts = cut_lineage(celled.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("parts")))
     item = F.struct("rep", "weight", "vector")
     blocks = cut_lineage(
         celled.join(counts, place)

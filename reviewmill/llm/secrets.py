@@ -56,7 +56,8 @@ def with_dictionary(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     """`found` with known_share: the share of a candidate's characters that lie in dictionary words."""
     runs = F.array_distinct(F.regexp_extract_all(F.lower("candidate"), F.lit(LETTERS), F.lit(0)))
     each = found.select("candidate").distinct().withColumn("entry", F.explode(runs))
-    known = each.join(dictionary, "entry").groupBy("candidate").agg(F.collect_set("entry").alias("_known"))
+    # written, so that the join deals out both sides itself and can split a value that stands everywhere
+    known = cut_lineage(each.join(dictionary, "entry").groupBy("candidate").agg(F.collect_set("entry").alias("_known")))
     joined = found.join(known, "candidate", "left")
     covered = F.aggregate(
         F.filter(F.regexp_extract_all(F.lower("candidate"), F.lit(LETTERS), F.lit(0)), lambda r: F.array_contains("_known", r)),
