@@ -29,7 +29,9 @@ from reviewmill.session import cut_lineage, fits_broadcast, scratch_path
 
 SLOTS = 1 << 16  # counters by which elements are ordered; their number is fixed
 KNOWN_WORDS = 200_000
+PARITY = 8  # longs of parity bits kept of a set
 LIGHT = 1 << 62
+PARITIES = [f"p{i}" for i in range(PARITY)]
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -111,6 +113,16 @@ def node_of(elements: np.ndarray) -> tuple[int, int]:
     return int(high), int(low)
 
 
+def parity_of(elements: np.ndarray) -> np.ndarray:
+    """PARITY longs: bit b tells whether an odd number of elements falls on it.
+
+    Bits that differ between two sets each stand for at least one element that only one has.
+    """
+    bits = 64 * PARITY
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Lineage cut by a written table in the shared folder."""
     path = scratch_path(df.sparkSession, name)
@@ -119,7 +131,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def profiled(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, size, node, rest, slot, n): a row per document, and the element counts by slot."""
+    """(doc_id, size, node, rest, p0.., slot, n): a row per document, and the element counts by slot."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,15 +141,15 @@ def profiled(docs: DataFrame, join: Join) -> DataFrame:
             for text in batch["text"]:
                 found = shingler.elements(text)
                 counts += np.bincount((found >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
-                rows.append((len(found), *node_of(found)))
-            out = pd.DataFrame(rows, columns=["size", "node", "rest"])
+                rows.append((len(found), *node_of(found), *parity_of(found).tolist()))
+            out = pd.DataFrame(rows, columns=["size", "node", "rest", *PARITIES])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out.assign(slot=pd.Series(dtype="Int32"), n=pd.Series(dtype="Int64"))
         slots = np.flatnonzero(counts)
         empty = pd.Series([None] * len(slots), dtype=object)
-        yield pd.DataFrame({"doc_id": empty, "size": empty, "node": empty, "rest": empty, "slot": slots, "n": counts[slots]})
+        yield pd.DataFrame({**dict.fromkeys(["doc_id", "size", "node", "rest", *PARITIES], empty), "slot": slots, "n": counts[slots]})
 
-    schema = f"doc_id {kind}, size int, node long, rest long, slot int, n long"
+    schema = f"doc_id {kind}, size int, node long, rest long, {', '.join(f'{p} long' for p in PARITIES)}, slot int, n long"
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
@@ -203,6 +215,13 @@ def may_link(a: Column, b: Column, join: Join) -> Column:
     return (least * 100 >= most * join.percent) & (bound * (100 + join.percent) >= (least + most) * join.percent)
 
 
+def may_differ_so_little(a: Column, b: Column, join: Join) -> Column:
+    """Whether the parity bits of two entries leave room for a link: the differing bits are at most
+    the elements that only one of two linked sets may have."""
+    differing = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"_{p}"))) for p in PARITIES), F.lit(0))
+    return differing * (100 + join.percent) <= (size_of(a) + size_of(b)) * (100 - join.percent)
+
+
 def as_pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
@@ -269,23 +288,24 @@ def jaccard_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     whole_text_batches(docs)
     docs = docs.select("doc_id", "text")
     profile = table(profiled(docs, join), "profile")
-    of_docs = profile.filter(F.col("size").isNotNull()).select("doc_id", "size", "node", "rest")
+    of_docs = profile.filter(F.col("size").isNotNull()).select("doc_id", "size", "node", "rest", *PARITIES)
     named = of_docs.filter("size > 0").groupBy("node").agg(
-        F.min("doc_id").alias("min_doc"), F.min("rest").alias("low"), F.max("rest").alias("high")
+        F.min("doc_id").alias("min_doc"), F.min("rest").alias("low"), F.max("rest").alias("high"), *[F.max(p).alias(p) for p in PARITIES]
     )
     nodes = cut_lineage(named)
     if not nodes.filter("low <> high").isEmpty():
         # two different sets share a 64-bit name: name them anew
         return jaccard_groups(docs, Join(join.words, join.percent, join.seed + 1))
-    nodes = nodes.select("node", "min_doc")
+    parities, nodes = nodes.select("node", *PARITIES), nodes.select("node", "min_doc")
     counts = np.zeros(SLOTS, dtype=np.int64)
     for slot, n in profile.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("n")).collect():  # SLOTS rows at most
         counts[slot] = n
 
     entries = table(list_entries(docs, join, counts), "entries")
+    # copies that two tasks have entered count twice here, and end at node <> pivot below
     lists = entries.groupBy("token").agg(
-        F.min("at").alias("pivot_at"), F.min_by("node", "at").alias("pivot"), F.min("node").alias("_low"), F.max("node").alias("_high")
-    ).filter("_low <> _high").drop("_low", "_high")
+        F.min("at").alias("pivot_at"), F.min_by("node", "at").alias("pivot"), F.count(F.lit(1)).alias("_n")
+    ).filter("_n > 1").drop("_n")
     live = table(entries.join(lists, "token"), "lists")
     star = live.filter((F.col("node") != F.col("pivot")) & may_link(F.col("at"), F.col("pivot_at"), join))
     tried = cut_lineage(as_pairs(star, "node", "pivot"))
@@ -295,10 +315,11 @@ def jaccard_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     large = live.filter(F.col("at") < LIGHT).select("token", "node", "at")
     rooted = large.join(found, "node", "left").select("token", "node", "at", F.coalesce("root", "node").alias("root"))
     per_root = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed_lists = per_root.groupBy("token").agg(F.max_by("root", "n").alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    apart = table(rooted.join(mixed_lists.select("token", "main"), "token"), "apart")
-    other = apart.filter("root <> main").select("token", F.col("node").alias("_node"), F.col("at").alias("_at"), F.col("root").alias("_root"))
-    scanned = apart.join(other, "token").filter((F.col("root") != F.col("_root")) & may_link(F.col("at"), F.col("_at"), join))
+    mixed_lists = cut_lineage(per_root.groupBy("token").agg(F.max_by("root", "n").alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    apart = table(rooted.join(mixed_lists.select("token", "main"), "token").join(parities, "node"), "apart")
+    other = apart.filter("root <> main").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "at", "root", *PARITIES)])
+    possible = may_link(F.col("at"), F.col("_at"), join) & may_differ_so_little(F.col("at"), F.col("_at"), join)
+    scanned = apart.join(other, "token").filter((F.col("root") != F.col("_root")) & possible)
     rest = cut_lineage(as_pairs(scanned, "node", "_node").join(tried, ["a", "b"], "left_anti"))
     more = verified(docs, rest, nodes, join)
     found = components(links.unionByName(more))

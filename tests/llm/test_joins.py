@@ -210,3 +210,17 @@ def test_mixing(spark):
 def test_mix_query(spark):
     texts = [(r.doc_id, r.source, r.text) for r in read(spark, SMALL, "documents").collect()]
     check_mix(QUERIES["op9_source_mixing"](spark, SMALL).collect(), texts)
+
+
+def test_parity_bits_never_rule_out_a_link():
+    rng, join = np.random.default_rng(1), ngrams.Join(3, 90)
+    for size in (1, 5, 40, 300, 2000, 20_000):
+        for share in (0.0, 0.02, 0.05, 0.5):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            fresh = rng.integers(0, 1 << 63, int(size * share), dtype=np.uint64)
+            b = np.unique(np.concatenate([a[len(fresh) :], fresh]))
+            apart = len(np.setxor1d(a, b))
+            bits = sum(int(x).bit_count() for x in (ngrams.parity_of(a) ^ ngrams.parity_of(b)).view(np.uint64))
+            assert bits <= apart
+            if len(np.intersect1d(a, b)) * (100 + join.percent) >= (len(a) + len(b)) * join.percent:
+                assert bits * (100 + join.percent) <= (len(a) + len(b)) * (100 - join.percent)
