@@ -131,8 +131,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def profiled(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, size, node, rest, p0.., slot, n): a row per document, and the element counts by slot."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """(doc_id, size, node, rest, p0.., slot, n): a row per document, and the element counts by slot.
+
+    A column text_key of `docs` goes along.
+    """
+    own = ["doc_id", *(["text_key"] if "text_key" in docs.columns else [])]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in own)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, counts = Shingler(join), np.zeros(SLOTS, dtype=np.int64)
@@ -143,14 +147,15 @@ def profiled(docs: DataFrame, join: Join) -> DataFrame:
                 counts += np.bincount((found >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
                 rows.append((len(found), *node_of(found), *parity_of(found).tolist()))
             out = pd.DataFrame(rows, columns=["size", "node", "rest", *PARITIES])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            for at, c in enumerate(own):
+                out.insert(at, c, batch[c].to_numpy())
             yield out.assign(slot=pd.Series(dtype="Int32"), n=pd.Series(dtype="Int64"))
         slots = np.flatnonzero(counts)
         empty = pd.Series([None] * len(slots), dtype=object)
-        yield pd.DataFrame({**dict.fromkeys(["doc_id", "size", "node", "rest", *PARITIES], empty), "slot": slots, "n": counts[slots]})
+        yield pd.DataFrame({**dict.fromkeys([*own, "size", "node", "rest", *PARITIES], empty), "slot": slots, "n": counts[slots]})
 
-    schema = f"doc_id {kind}, size int, node long, rest long, {', '.join(f'{p} long' for p in PARITIES)}, slot int, n long"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = f"{kinds}, size int, node long, rest long, {', '.join(f'{p} long' for p in PARITIES)}, slot int, n long"
+    return docs.select(*own, "text").mapInPandas(run, schema)
 
 
 def list_entries(docs: DataFrame, join: Join, counts: np.ndarray) -> DataFrame:
@@ -285,17 +290,22 @@ def jaccard_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     all of its component has; repeated rows give repeated results, an empty table none. Columns
     other than doc_id and text are ignored.
     """
+    return grouped(docs.select("doc_id", "text"), join)
+
+
+def grouped(docs: DataFrame, join: Join) -> DataFrame:
+    """`jaccard_groups` of (doc_id, text) or of (doc_id, text, text_key), with text_key where given."""
     whole_text_batches(docs)
-    docs = docs.select("doc_id", "text")
+    own = [c for c in docs.columns if c != "text"]
     profile = table(profiled(docs, join), "profile")
-    of_docs = profile.filter(F.col("size").isNotNull()).select("doc_id", "size", "node", "rest", *PARITIES)
+    of_docs = profile.filter(F.col("size").isNotNull()).select(*own, "size", "node", "rest", *PARITIES)
     named = of_docs.filter("size > 0").groupBy("node").agg(
         F.min("doc_id").alias("min_doc"), F.min("rest").alias("low"), F.max("rest").alias("high"), *[F.max(p).alias(p) for p in PARITIES]
     )
     nodes = cut_lineage(named)
     if not nodes.filter("low <> high").isEmpty():
         # two different sets share a 64-bit name: name them anew
-        return jaccard_groups(docs, Join(join.words, join.percent, join.seed + 1))
+        return grouped(docs, Join(join.words, join.percent, join.seed + 1))
     parities, nodes = nodes.select("node", *PARITIES), nodes.select("node", "min_doc")
     counts = np.zeros(SLOTS, dtype=np.int64)
     for slot, n in profile.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("n")).collect():  # SLOTS rows at most
@@ -331,13 +341,20 @@ def jaccard_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     ids = smallest.groupBy("root").agg(F.min("min_doc").alias("component"))
     placed = smallest.join(ids, "root").select("node", "component")
     return of_docs.join(placed, "node", "left").select(
-        "doc_id",
+        *own,
         F.col("size").cast("long").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
 def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """The rows of `docs`, with all their columns, that are first of their group."""
-    gone = jaccard_groups(docs, join).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of `docs`, with all their columns, that are first of their group.
+
+    A row goes by its doc_id and text together: rows that share the doc_id, or have none either,
+    but hold another text stay unless they are near copies themselves.
+    """
+    key = F.unhex(F.sha2("text", 256))  # null for a null text, which links with nothing
+    found = grouped(docs.select("doc_id", "text", key.alias("text_key")), join)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), "text_key").distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.unhex(F.sha2(docs["text"], 256)) == gone["text_key"])
+    return docs.join(gone, same, "left_anti")

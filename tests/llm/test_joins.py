@@ -224,3 +224,10 @@ def test_parity_bits_never_rule_out_a_link():
             assert bits <= apart
             if len(np.intersect1d(a, b)) * (100 + join.percent) >= (len(a) + len(b)) * join.percent:
                 assert bits * (100 + join.percent) <= (len(a) + len(b)) * (100 - join.percent)
+
+
+def test_near_copies_go_by_id_and_text(spark):
+    rows = [(7, "a b c d", 1), (None, "a b c d", 2), (None, "q r s t", 3), (None, None, 4), (None, "", 5), (9, "a b c d", 6), (9, "u v w x", 7), (9, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    kept = ngrams.one_of_each(docs, ngrams.Join(3, 90))
+    assert kept.columns == docs.columns and sorted(r.at for r in kept.collect()) == [1, 3, 4, 5, 7, 8]
