@@ -8,8 +8,10 @@ the copies evenly over short and long documents, so the words taken come near th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,17 +65,28 @@ def units_of(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "source", "key", "size").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def rows_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units of a partition with `_at`, the rows that the units before them stand for."""
+    total = 0
+    for batch in batches:
+        upto = pc.add(pc.cumulative_sum(batch["n_rows"]), total)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pc.subtract(upto, batch["n_rows"])], names=[*batch.schema.names, "_at"])
+        total = upto[-1].as_py() if len(upto) else total
+
+
 def sampled_copies(units: DataFrame, targets: DataFrame, seed: int = 0, most: int = MOST) -> DataFrame:
-    """`units` with source_size, target and copies (0 to `most`).
+    """`units` with source_size, target and copies (0 to `most` times n_rows, for all rows of a unit).
 
-    The running sums need no task that holds a source: rows are range-partitioned by source and
-    size, and a row's place is its place in its partition plus the rows of its source before.
+    A unit takes as many steps as it has rows. The running sums need no task that holds a source:
+    units are range-partitioned by source and size, and a unit's place is the rows before it in
+    its partition plus the rows of its source before.
     """
     order = ["source", "size", "_tie", "doc_id", "key"]
     tied = units.withColumn("_tie", F.xxhash64(F.lit(seed), "doc_id", "key"))
-    laid = cut_lineage(tied.repartitionByRange(*order).sortWithinPartitions(*order))
-    placed = laid.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
-    parts = placed.groupBy("_part", "source").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    laid = cut_lineage(tied.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_part", F.spark_partition_id())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema)
+    placed = laid.mapInArrow(rows_before, f"{schema}, _at long")
+    parts = placed.groupBy("_part", "source").agg(F.min("_at").alias("_first"), F.sum("n_rows").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     known = parts.withColumn("_before", F.coalesce(before, F.lit(0)))
     steps = (
@@ -86,17 +99,22 @@ def sampled_copies(units: DataFrame, targets: DataFrame, seed: int = 0, most: in
     )
     place = F.col("_at") - F.col("_first") + F.col("_before")
     upto = lambda n: F.floor(n * F.col("_step") + F.col("_offset"))
-    copies = F.greatest(F.lit(0), F.least(F.lit(most), upto(place + 1) - upto(place))).cast("int")
+    copies = F.greatest(F.lit(0), F.least(most * F.col("n_rows"), upto(place + F.col("n_rows")) - upto(place))).cast("long")
     return placed.join(steps, (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s"))).select(
         "doc_id", "source", "key", "size", "n_rows", "source_size", "target", copies.alias("copies")
     )
 
 
+def copies_of_row(ordinal: Column, copies: Column, n_rows: Column) -> Column:
+    """Copies of the row with this ordinal, from 1, in its unit: the first ones get what does not go round."""
+    return (F.floor(copies / n_rows) + (ordinal <= copies % n_rows).cast("long")).cast("int")
+
+
 def mix_plan(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc_id, source, key, size, n_rows, source_size, target, copies): how often each document is taken.
+    """(doc_id, source, key, size, n_rows, source_size, target, copies): how often the rows of each document are taken.
 
     Null and empty texts have size 0 and take no words; a null source is a source, a null doc_id
-    an id; repeated rows share one decision. An empty table gives no rows. Equal sizes stand in
+    an id; rows that agree in id, source and text share `copies` evenly, no two of them more than one apart. An empty table gives no rows. Equal sizes stand in
     order of a hash of seed and id, so reruns and other partitionings agree.
     """
     units = cut_lineage(units_of(docs))
@@ -106,22 +124,46 @@ def mix_plan(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 def mix_report(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, size, source_size, target, taken): one row per row of `docs`."""
-    plan = mix_plan(docs, seed)
-    return plan.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
-        F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("_row"),
-    ).drop("_row")
+    rows = mix_plan(docs, seed).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies_of_row(F.col("_row"), F.col("copies"), F.col("n_rows"))).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The rows of `docs`, with all their columns, as often as the mix takes them."""
+    """The rows of `docs`, with all their columns, as often as the mix takes them.
+
+    Where a document's rows differ in other columns, which of them are taken once more is open.
+    """
     taken = mix_plan(docs, seed).filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), F.col("copies").alias("_copies")
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), "n_rows", "copies"
     )
-    same = (
-        docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (F.xxhash64(docs["text"]) == F.col("_key"))
+    taken = cut_lineage(taken.withColumnsRenamed({"n_rows": "_rows", "copies": "_copies"}))
+    same = lambda d: (
+        d["doc_id"].eqNullSafe(F.col("_id")) & d["source"].eqNullSafe(F.col("_source")) & (F.xxhash64(d["text"]) == F.col("_key"))
     )
-    repeated = docs.join(taken, same).select(
-        *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
-    )
-    return repeated.select(*[repeated[c] for c in docs.columns])
+    even = F.col("_copies") % F.col("_rows") == 0
+    each = docs.join(taken.filter(even), same(docs)).select(*[docs[c] for c in docs.columns], (F.col("_copies") / F.col("_rows")).cast("int").alias("_times"))
+    uneven = taken.filter(~even)
+    if not uneven.isEmpty():
+        each = each.unionByName(numbered_copies(docs, uneven, same))
+    repeated = each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return repeated.select(*docs.columns)
+
+
+def numbered_copies(docs: DataFrame, uneven: DataFrame, same: Callable[[DataFrame], Column]) -> DataFrame:
+    """The rows of units whose copies do not go round, with `_times` above 0.
+
+    A row's ordinal is its place among its unit's rows of one slice, and the unit's rows in
+    slices before; so rows that repeat without end need no task that holds them all.
+    """
+    unit = ["_id", "_source", "_key"]
+    sliced = docs.withColumn("_slice", F.spark_partition_id())
+    rows = cut_lineage(sliced.join(uneven, same(sliced)))
+    counts = cut_lineage(rows.groupBy(*unit, "_slice").agg(F.count(F.lit(1)).alias("_n")))
+    upto = Window.partitionBy(*unit).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(c).alias(f"_{c}") for c in unit], F.col("_slice").alias("__slice"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*unit, "_slice").orderBy("_slice"))
+    on = (F.col("_slice") == F.col("__slice")) & (F.col("_key") == F.col("__key"))
+    on = on & F.col("_id").eqNullSafe(F.col("__id")) & F.col("_source").eqNullSafe(F.col("__source"))
+    times = copies_of_row(F.col("_place") + F.col("_before"), F.col("_copies"), F.col("_rows"))
+    numbered = rows.withColumn("_place", place).join(before, on).withColumn("_times", times)
+    return numbered.filter("_times > 0").select(*docs.columns, "_times")

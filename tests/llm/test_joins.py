@@ -231,3 +231,24 @@ def test_near_copies_go_by_id_and_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, at int")
     kept = ngrams.one_of_each(docs, ngrams.Join(3, 90))
     assert kept.columns == docs.columns and sorted(r.at for r in kept.collect()) == [1, 3, 4, 5, 7, 8]
+
+
+def test_repeated_rows_are_taken_near_the_target(spark):
+    rows = [(1, "a", "x y z w", 0)] * 100 + [(None, "a", "p q r s", 0)] * 31 + [(i, "a", "w w w w", 0) for i in range(2, 160)]
+    rows += [(500, "b", "m n", i) for i in range(90)] + [(i, "b", "m n", 0) for i in range(501, 600)] + [(i, "c", "k", 0) for i in range(700, 760)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, at int").repartition(5)
+    report = mixing.mix_report(docs).collect()
+    assert len(report) == len(rows)
+    mixed = mixing.mix_documents(docs).collect()
+    for source, longest in (("a", 4), ("b", 2), ("c", 1)):
+        n = sum(r[1] == source for r in rows) * longest
+        target = {r.target for r in report if r.source_size == n}.pop()
+        assert 0.1 < target / n <= 2
+        assert abs(sum(r.taken for r in report if r.source_size == n) - target) <= 3 * longest
+        assert sum(longest for r in mixed if r.source == source) == sum(r.taken for r in report if r.source_size == n)
+    for i, many in ((1, 100), (None, 31), (500, 90)):
+        reported = [r.taken // r.size for r in report if r.doc_id == i]
+        assert len(reported) == many and max(reported) - min(reported) <= 1
+        assert sum(reported) == sum(r.doc_id == i for r in mixed)
+    times = [sum(r.doc_id == 500 and r["at"] == i for r in mixed) for i in range(90)]
+    assert max(times) - min(times) <= 1
