@@ -19,7 +19,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 CANDIDATE = r"[A-Za-z0-9_+/=-]{12,}"
 KEY_WORD = r"(?i)(token|secret|passw|api[_-]?key|credential|private|bearer|auth|access[_-]?key)"
 OTHER_WORD = r"(?i)(commit|md5|sha\d*|checksum|version|build|uuid|id|hash|file|url|page|mail|phone|order|sku|isbn)\W*$"
-DICTIONARY_COUNT = 5
+DICTIONARY_TEXTS, DICTIONARY_SHARE = 5, 1 / 20_000
 LETTERS = r"\p{L}{3,}"
 FEATURES = [
     "n_chars", "changes", "digits", "uppers", "symbols", "distinct_chars", "hex", "known_share",
@@ -35,7 +35,6 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, word_at, candidate, word, before, before_2, after): runs of 12 or more key characters with
     a letter and a digit among them, with the words around."""
     words = docs.select("doc_id", split_words(F.col("text")).alias("words"))
-    shaped = lambda w: (F.length(w) >= 12) & w.rlike(r"[0-9]") & w.rlike(CANDIDATE)
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: shaped(F.get("words", i)))
     near = lambda i: F.struct(
         i.alias("word_at"), F.get("words", i).alias("word"), F.get("words", i - 1).alias("before"),
@@ -46,10 +45,24 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     return each.filter(F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]"))
 
 
+def shaped(word: Column) -> Column:
+    return (F.length(word) >= 12) & word.rlike(r"[0-9]") & word.rlike(CANDIDATE)
+
+
 def corpus_dictionary(docs: DataFrame) -> DataFrame:
-    """(entry): words of three or more letters that the whole corpus holds DICTIONARY_COUNT times; counted in the map tasks first."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")).alias("entry"))
-    return words.filter(F.length("entry") >= 3).groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= DICTIONARY_COUNT).select("entry")
+    """(entry): runs of three or more letters that stand in DICTIONARY_SHARE of the distinct texts, and in DICTIONARY_TEXTS at least.
+
+    Words that hold candidates do not count, nor do copies of a text.
+    """
+    texts = docs.select("text").filter(F.length("text") > 0).distinct()
+    plain = texts.select(F.filter(split_words(F.col("text")), lambda w: ~shaped(w)).alias("words"))
+    runs = F.array_distinct(F.split(F.lower(F.array_join("words", " ")), r"[^\p{L}]+"))
+    # an empty entry of every text counts the texts
+    each = plain.select(F.explode(F.array_union(F.array(F.lit("")), F.filter(runs, lambda r: F.length(r) >= 3))).alias("entry"))
+    counted = cut_lineage(each.groupBy("entry").agg(F.count(F.lit(1)).alias("n")))
+    total = counted.filter("entry = ''").select("n").first()
+    least = max(DICTIONARY_TEXTS, (total.n if total else 0) * DICTIONARY_SHARE)
+    return counted.filter((F.col("n") >= least) & (F.col("entry") != "")).select("entry")
 
 
 def with_dictionary(found: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -103,3 +103,17 @@ def test_secret_edges(spark):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
     one_kind = secrets.find_candidates(docs.filter("doc_id = 3")).withColumn("label", F.lit(1.0)).drop("doc_id")
     assert all(r.score == 1 for r in secrets.scan_secrets(docs, one_kind).collect())
+
+
+def test_copies_do_not_make_a_secret_known(spark):
+    secret = "kqXvTz7LpwZrWmnbYsd9QhJgfRtc"
+    rows = [(i, f"some plain words in line {'abcdefghij'[i % 10] * 4} number {i}") for i in range(200)]
+    once, often = [(1000, f"key material {secret} here")], [(1000 + i, f"key material {secret} here") for i in range(1000)]
+    got = []
+    for more in (once, often):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        words = secrets.corpus_dictionary(docs)
+        found = secrets.with_dictionary(secrets.find_candidates(docs), words).filter(F.col("candidate") == secret)
+        scored = secrets.scan_secrets(docs, secrets.labelled_findings(spark.createDataFrame(rows, "doc_id long, text string"))).filter(F.col("candidate") == secret)
+        got.append(({r.entry for r in words.collect()}, {r.known_share for r in found.collect()}, {(r.score, r.is_secret) for r in scored.collect()}))
+    assert got[0] == got[1] and got[0][1] == {0.0} and "plain" in got[0][0]
