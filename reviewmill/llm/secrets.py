@@ -1,4 +1,4 @@
-"""Secret scans: candidates by shape, false positives removed by a random forest.
+"""Secret scans: candidates by shape or by the key word before them, false positives removed by a random forest.
 
 Candidates, features, dictionary, training and scoring are DataFrame functions and Spark ML; no
 Python runs on the executors. The forest learns from labelled findings; where none are given,
@@ -18,6 +18,12 @@ from reviewmill.session import cut_lineage
 SPACE = r"[\x20\x09-\x0D]+"
 CANDIDATE = r"[A-Za-z0-9_+/=-]{12,}"
 KEY_WORD = r"(?i)(token|secret|passw|api[_-]?key|credential|private|bearer|auth|access[_-]?key)"
+# what a word assigns to a key word in it, and the end of the words before an assigned word
+ASSIGNS = KEY_WORD + r"[^\s=:]{0,40}[=:]+>?(([\"'`]).*?\3|.+)"
+ASSIGNED = KEY_WORD + r"[^\s=:]{0,40}\s?[=:]+>?[\"'`]?$"
+HAS_ASSIGNED = KEY_WORD + r"[^\s=:]{0,40}\s*[=:]"
+MARKS = r"\"'`,;.)\]}>"
+VALUE_CHARS = 6
 OTHER_WORD = r"(?i)(commit|md5|sha\d*|checksum|version|build|uuid|id|hash|file|url|page|mail|phone|order|sku|isbn)\W*$"
 DICTIONARY_TEXTS, DICTIONARY_SHARE = 5, 1 / 20_000
 LETTERS = r"\p{L}{3,}"
@@ -31,18 +37,40 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def assigned_values(word: Column, before: Column, before_2: Column) -> Column:
+    """The values that `word` holds for a key word and = or : in it or before it, without quotes and marks around them.
+
+    Printable characters of any kind; where no quotes say how far a value goes, it ends with the
+    word, or at the first & , or ; of it, and both stand.
+    """
+    prior = F.concat_ws(" ", F.coalesce(before_2, F.lit("")), F.coalesce(before, F.lit("")))
+    inside = F.when(word.rlike("[=:]"), F.regexp_extract_all(word, F.lit(ASSIGNS), F.lit(2)))
+    next_to = F.when(F.coalesce(before, F.lit("")).rlike("[=:]>?[\"'`]?$") & prior.rlike(ASSIGNED), F.array(word))
+    raw = F.concat(F.coalesce(inside, F.array().cast("array<string>")), F.coalesce(next_to, F.array().cast("array<string>")))
+    bare = lambda v: F.regexp_replace(v, rf"^[\"'`]+|(?<![{MARKS}])[{MARKS}]+$", "")
+    quoted = lambda v: F.regexp_extract(v, "^([\"'`])(.+?)\\1", 2)
+    each = F.flatten(F.transform(raw, lambda v: F.when(quoted(v) != "", F.array(quoted(v))).otherwise(F.array(bare(v), bare(F.regexp_extract(v, "^[^&,;]+", 0))))))
+    return F.array_distinct(F.filter(each, lambda v: F.length(v) >= VALUE_CHARS))
+
+
 def find_candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, word_at, candidate, word, before, before_2, after): runs of 12 or more key characters with
-    a letter and a digit among them, with the words around."""
-    words = docs.select("doc_id", split_words(F.col("text")).alias("words"))
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: shaped(F.get("words", i)))
+    a letter and a digit among them, and values assigned to a key word, of VALUE_CHARS or more characters of
+    any kind; with the words around."""
+    words = docs.select("doc_id", F.coalesce(F.col("text").rlike(HAS_ASSIGNED), F.lit(False)).alias("some"), split_words(F.col("text")).alias("words"))
+    values = lambda i: assigned_values(F.get("words", i), F.get("words", i - 1), F.get("words", i - 2))
+    places = F.sequence(F.lit(0), F.size("words") - 1)
+    at = F.when(F.col("some"), F.filter(places, lambda i: shaped(F.get("words", i)) | (F.size(values(i)) > 0))).otherwise(
+        F.filter(places, lambda i: shaped(F.get("words", i)))
+    )
     near = lambda i: F.struct(
         i.alias("word_at"), F.get("words", i).alias("word"), F.get("words", i - 1).alias("before"),
         F.get("words", i - 2).alias("before_2"), F.get("words", i + 1).alias("after"),
     )
     found = words.filter(F.size("words") > 0).select("doc_id", F.explode(F.transform(at, near)).alias("f")).select("doc_id", "f.*")
-    each = found.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))))
-    return each.filter(F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]"))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), lambda c: c.rlike("[0-9]") & c.rlike("[A-Za-z]"))
+    more = F.array_except(assigned_values(F.col("word"), F.col("before"), F.col("before_2")), runs)
+    return found.withColumn("candidate", F.explode(F.concat(runs, more)))
 
 
 def shaped(word: Column) -> Column:
@@ -88,10 +116,10 @@ def with_features(found: DataFrame) -> DataFrame:
     around = F.concat_ws(" ", text("before_2"), text("before"), head)
     made = {
         "n_chars": n,
-        "changes": count("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[_+/=-])[^_+/=-]") / n,
+        "changes": count("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[^A-Za-z0-9])[A-Za-z0-9]") / n,
         "digits": count("[0-9]") / n,
         "uppers": count("[A-Z]") / n,
-        "symbols": count("[_+/=-]") / n,
+        "symbols": count("[^A-Za-z0-9]") / n,
         "distinct_chars": F.size(F.array_distinct(F.split(c, ""))) / n,
         "hex": c.rlike("^([0-9a-f]+|[0-9A-F]+)$"),
         "is_path": F.col("word").rlike(r"://|^/|/.*/|\.\w{2,4}$"),
@@ -118,33 +146,42 @@ def labelled_findings(docs: DataFrame, max_rows: int = 3_000) -> DataFrame:
     )
     words = F.filter(split_words(F.col("text")), lambda w: w.rlike(r"^\p{L}+$"))
     base = few.select(
-        "doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("s"), F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int").alias("kind"),
+        "doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("s"), F.pmod(F.xxhash64("doc_id"), F.lit(12)).cast("int").alias("kind"),
         F.coalesce(F.get(words, F.lit(0)), F.lit("the")).alias("w0"), F.coalesce(F.get(words, F.lit(1)), F.lit("of")).alias("w1"),
+        F.coalesce(F.get(F.filter(words, lambda w: F.length(w) >= VALUE_CHARS), F.lit(0)), F.lit("required")).alias("w2"),
     )
-    s, w0, w1 = F.col("s"), F.col("w0"), F.col("w1")
+    s, w0, w1, w2 = F.col("s"), F.col("w0"), F.col("w1"), F.col("w2")
     b64 = F.regexp_replace(F.base64(F.unhex(s)), "=", "")
+    letters, digits = F.regexp_replace(b64, "[^A-Za-z]", ""), F.translate(s, "abcdef", "273941")
+    part = lambda n: F.substring(b64, 5 * n + 1, 4)
     long_word = F.regexp_replace(F.concat(w0, F.lit("ing"), w1, F.lit("ation"), F.lit("station")), r"[^A-Za-z]", "a")
     secret = [
         ('token = "', F.substring(s, 1, 40), '"'), ("api_key=", F.substring(b64, 1, 32), ""), ("password: '", F.substring(b64, 3, 16), "'"),
         ("aws_secret_access_key = ", F.substring(b64, 1, 40), ""), ("Authorization: Bearer ", b64, ""), ('secret: "', F.substring(s, 3, 32), '"'),
         ("access-key ", F.concat(F.lit("AK"), F.upper(F.substring(s, 5, 18))), ""), ('"auth_token": "', F.concat(F.lit("sk_"), F.substring(b64, 1, 24)), '",'),
+        ('secret = "', F.substring(letters, 1, 16), '"'), ("auth_token: ", F.substring(digits, 1, 14), ""),
+        ("password: ", F.concat(part(0), F.lit("!"), part(1), F.lit("$"), part(2)), ""), ("passwd=", F.concat(part(0), F.lit("."), part(1)), ""),
     ]
     other = [
         ("md5 ", F.substring(s, 1, 32), ""), ("commit ", F.substring(s, 1, 40), ""), ("", F.concat(long_word, F.lit("2024")), "@mail.example.com"),
         ("/usr/share/", F.concat(long_word, F.lit("/v2/"), F.substring(s, 1, 6)), ".txt"), ("https://example.com/", F.concat(F.lit("page-"), long_word, F.lit("-7")), ""),
         ("order id ", F.concat(F.lit("ORDER-"), F.conv(F.substring(s, 1, 8), 16, 10)), ""), ("", F.concat(long_word, F.lit("1984")), ","),
         ("version ", F.concat(F.lit("release-2024-"), F.substring(s, 1, 3)), ""),
+        ("password: ", w2, ""), ("author: ", F.initcap(w2), ","), ("token = ", F.concat(F.lower(w2), F.lit("_"), F.lower(w1)), ";"),
+        ("api_key=", F.concat(F.lit("<your-"), w2, F.lit(">")), ""),
     ]
 
     def made(options, label):
         pick = lambda part: F.element_at(F.array(*[part(o) for o in options]), F.col("kind") + 1)
         lit = lambda k: lambda o: F.lit(o[k])
         line = F.concat(w0, F.lit(" "), w1, F.lit(" "), pick(lit(0)), pick(lambda o: o[1]), pick(lit(2)), F.lit(" "), w0)
-        return base.select("doc_id", line.alias("text"), F.lit(label).alias("label"))
+        return base.select(F.struct("doc_id", F.lit(label).alias("label"), pick(lambda o: o[1]).alias("value")).alias("doc_id"), line.alias("text"))
 
     lines = made(secret, 1.0).unionByName(made(other, 0.0))
-    found = find_candidates(lines.select(F.struct("doc_id", "label").alias("doc_id"), "text"))
-    return found.select(F.col("doc_id.label").alias("label"), "word_at", "candidate", "word", "before", "before_2", "after")
+    # a secret's line may hold more: "Bearer" is the value of Authorization
+    label = F.when(F.contains(F.col("candidate"), F.col("doc_id.value")), F.col("doc_id.label")).otherwise(0.0)
+    found = find_candidates(lines)
+    return found.filter((F.col("doc_id.label") == 0) | F.contains(F.col("candidate"), F.col("doc_id.value")) | ~F.contains(F.col("doc_id.value"), F.col("candidate"))).select(label.alias("label"), "word_at", "candidate", "word", "before", "before_2", "after")
 
 
 def train_forest(labelled: DataFrame, trees: int = 20, depth: int = 6, seed: int = 0) -> RandomForestClassificationModel:

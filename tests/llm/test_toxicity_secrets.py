@@ -117,3 +117,20 @@ def test_copies_do_not_make_a_secret_known(spark):
         scored = secrets.scan_secrets(docs, secrets.labelled_findings(spark.createDataFrame(rows, "doc_id long, text string"))).filter(F.col("candidate") == secret)
         got.append(({r.entry for r in words.collect()}, {r.known_share for r in found.collect()}, {(r.score, r.is_secret) for r in scored.collect()}))
     assert got[0] == got[1] and got[0][1] == {0.0} and "plain" in got[0][0]
+
+
+def test_values_after_key_words_are_candidates(spark):
+    rows = [(i, f"some plain words in line {'abcdefghij'[i % 10] * 4} number {i}") for i in range(600)]
+    values = {
+        1000: ('secret = "{}"', "kXvTqLpZrWmNbYsD"), 1001: ("api_key={}", "84629173058264"), 1002: ("password: {}", "hT7!qZ2$xR9~kW4"),
+        1003: ("passwd={}", "q7Rx.Lm2"), 1004: ('{{"token":"{}","user":"bob"}}', "xK9,mQ2;vB"), 1005: ("password : {}.", "zQ8@wN3%tY"),
+    }
+    made = [(i, f"plain words {form.format(v)} plain words") for i, (form, v) in values.items()]
+    odd = [(2000, "password: plainwords"), (2001, "token " * 20_000), (2002, "token" * 20_000), (2003, "password:" + "." * 100_000), (2004, "password: abc")]
+    docs = spark.createDataFrame(rows + made + odd, "doc_id long, text string")
+    got = secrets.scan_secrets(docs).filter("doc_id >= 1000").collect()
+    by_id = {(r.doc_id, r.candidate): r for r in got}
+    print([(r.doc_id, r.candidate[:40], r.score) for r in got])
+    assert all((i, v) in by_id for i, (_, v) in values.items())
+    assert all(by_id[i, v].is_secret for i, (_, v) in values.items())
+    assert (2004, "abc") not in by_id and not any(r.is_secret for r in got if r.doc_id == 2000)
