@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.operators.features import hashed_vectors
-from reviewmill.operators.fetch import dedup_reviews, fetch, latest_slice
+from reviewmill.operators.fetch import dedup_reviews, fetch, latest_slice, seeded_sample
 from reviewmill.operators.lake import LoadSummary, append_to_lake
 from reviewmill.operators.metrics import classification_report, weighted_metrics
 from reviewmill.operators.model import LinearModel, SvmParams, label_with, score_reviews, train_svm
@@ -104,13 +104,14 @@ def analyze(
     """Fetch, score, summarise, cluster and report: one record per app.
 
     All rows are analysed unless the caller names a strategy's `counts` (newest_count,
-    relevant_count) or a `sample` per app. The scored rows are written once, because the count
-    and four summaries read them.
+    relevant_count) or a `sample` per app; a sample without counts is drawn from all rows. The
+    scored rows are written once, because the count and four summaries read them.
     """
-    if counts is None and sample is None:
+    if counts is None:
         picked = dedup_reviews(raw, [F.desc("row_id")])
+        picked = picked if sample is None else seeded_sample(picked, sample, 42)
     else:
-        picked = fetch(raw, strategy, sample=sample, **(counts or {}))
+        picked = fetch(raw, strategy, sample=sample, **counts)
     scored = cut_lineage(score_reviews(picked, model))
     percentages = sentiment_percentages(scored)
     top = cut_lineage(top_reviews(scored))

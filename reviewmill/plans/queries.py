@@ -665,7 +665,7 @@ def reduced_vectors(spark, d):
 
 @query
 def cluster_text(spark, d):
-    return topics.cluster_text(tables.clustered(spark, d))
+    return topics.cluster_text(tables.clustered(spark, d), reviews=100)
 
 
 @query

@@ -181,3 +181,28 @@ def test_freshness_matches_brute_force(spark):
             live.pop(k, None)
         else:
             assert got[i] == hit
+
+
+def test_cluster_text_and_samples_take_all_rows_by_default(spark, monkeypatch):
+    from reviewmill.plans import jobs
+
+    rows = felt(spark, [("positive", f"w{i}", 1) for i in range(150)]).withColumn("cluster", F.lit(0).cast("long"))
+    assert [len(r["cluster_text"].split()) for r in topics.cluster_text(rows).collect()] == [150]
+    assert [len(r["cluster_text"].split()) for r in topics.cluster_text(rows, reviews=100).collect()] == [100]
+    raw = spark.range(6000).select(
+        F.lit("app").alias("app_id"), F.concat(F.lit("r"), "id").alias("reviewId"), F.lit("x").alias("content"),
+        F.lit(3).alias("score"), F.lit(0).alias("thumbsUpCount"), F.col("id").alias("row_id"),
+    )
+
+    class Picked(Exception):
+        pass
+
+    def stop(picked, model):
+        raise Picked(picked.count())
+
+    monkeypatch.setattr(jobs, "score_reviews", stop)
+    for sample, n in ((5500, 5500), (None, 6000)):
+        try:
+            jobs.analyze(raw, None, sample=sample)
+        except Picked as seen:
+            assert seen.args[0] == n
