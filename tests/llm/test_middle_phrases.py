@@ -1,0 +1,148 @@
+"""Fill-in-middle and phrase search against plain Python."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from oracle import differences, duck
+from reviewmill.llm import middle, phrases
+from reviewmill.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+KEYS = ["op11_fill_in_middle", "op12_benchmark_decontamination", "op13_conversation_repair"]
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_query_equals_sql(spark, name):
+    assert differences(QUERIES[name](spark, SF), ORACLES[name], duck(SF)) is None
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_middle(doc_id, text):
+    text = text or ""
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    n, digest = len(units), sha(f"1:{'' if doc_id is None else doc_id}")
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or re.search("<[PSM]>", text) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if h[3] % 100 < 20:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+TEXTS = ["", None, "a", "<", "<P", "<<S", "x <P> y", "ab cd", "é🎉 ñ\x00\n", "[@`{]^|", " " * 3000, "word " * 2000, "Z" * 100_000, "a1" * 70_000, "🎉b" * 5000]
+
+
+def test_fill_in_middle(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS * 12)] + [(None, "no id at all"), (7, "twice"), (7, "twice")]
+    docs = spark.createDataFrame([(*r, 0, "f") for r in rows], "doc_id long, text string, n int, form string").repartition(5)
+    made = middle.fill_in_middle(docs)
+    got = made.withColumn("back", middle.restored(F.col("example"), F.col("form"))).collect()
+    want = sorted(((i, *plain_middle(i, t), t or "") for i, t in rows), key=repr)
+    assert sorted((tuple(r) for r in got), key=repr) == want
+    assert {r.form for r in got} == {"plain", "psm", "spm"}
+    report = sorted((r.output_sha256, r.restored_sha256) for r in middle.middle_report(docs).collect())
+    assert report == sorted((sha(w[5]), sha(w[6])) for w in want)
+    assert middle.fill_in_middle(docs.limit(0)).count() == 0
+
+
+def test_index_is_exact_and_bounded():
+    rng = random.Random(3)
+    for _ in range(60):
+        text = "".join(rng.choice(["word", " ", "é", "Z" * rng.randint(1, 900), "1", "\n"]) for _ in range(rng.randint(0, 3000)))
+        ends = np.cumsum([0] + [len(u) for u in re.findall(r"[A-Za-z]+|[^A-Za-z]", text)])
+        offsets = middle.boundaries(text)
+        assert (offsets == ends).all()
+        starts, slopes = middle.fit_segments(offsets)
+        n, first, bases, _, residuals = middle.index_text(text)
+        assert n == len(ends) - 1 and len(residuals) == len(ends) and (bases == ends[first]).all()
+        segment = np.searchsorted(starts, np.arange(len(ends)), "right") - 1
+        predicted = ends[starts[segment]] + np.rint(slopes[segment] * (np.arange(len(ends)) - starts[segment]))
+        assert np.abs(ends - predicted).max() <= middle.ERROR + 1
+    assert len(middle.fit_segments(np.arange(0, 10_000_000, 5))[0]) == 1
+
+
+def test_examples_take_one_python_pass_and_no_shuffle(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = middle.middle_report(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain_hits(text, items, slop, window):
+    """(n_words, hit places, item names) by looking at every place; a span that holds another match of its phrase is none."""
+    doc, hit, names = words(text), set(), set()
+    for item_id, item in items:
+        w = words(item)
+        k = min(window, len(w))
+        for p in {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else ():
+            spans = []
+            for first in range(len(doc)):
+                at = [first] if doc[first] == p[0] else []
+                for word in p[1:]:
+                    after = next((j for j in range(at[-1] + 1, len(doc)) if doc[j] == word), None) if at else None
+                    at = [*at, after] if after is not None else []
+                if at and at[-1] - first + 1 - k <= slop:
+                    spans.append((first, at[-1]))
+            for a, b in spans:
+                if not any((a, b) != (x, y) and a <= x and y <= b for x, y in spans):
+                    hit.update(range(a, b + 1))
+                    names.add(item_id)
+    return len(doc), hit, names - {None}
+
+
+@pytest.mark.parametrize("slop", [0, 2])
+def test_phrases(spark, slop):
+    rng = random.Random(slop)
+    vocab = ["le", "la", "É", "x9", "Mot", "fin"]
+    text = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choice(vocab) for _ in range(n))
+    items = [(i, text(rng.randint(4, 9))) for i in range(8)] + [(8, "fin"), (9, None), (10, "?!"), (None, "la la la"), (3, "mot x9 mot")]
+    items += [items[0], (30, items[1][1])]
+    docs = [(i, text(rng.randint(0, 120))) for i in range(60)] + [(None, items[0][1]), (5, items[1][1]), (5, items[1][1]), (61, None), (62, "...")]
+    docs.append((63, " ".join(["autre"] * 4000) + " " + items[2][1]))
+    d = spark.createDataFrame([(*r, "z", 1) for r in docs], "doc_id long, text string, terms string, segment int").repartition(3)
+    b = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, block int")
+    got = phrases.contaminated_documents(d, b, phrases.Phrases(window=4, slop=slop)).collect()
+    places = lambda r: {p for s in r.spans for p in range(s.first, s.last + 1)}
+    mine = sorted(((r.doc_id, r.n_words, tuple(sorted(places(r))), tuple(r["items"])) for r in got), key=repr)
+    plain = [(i, *plain_hits(t, items, slop, 4)) for i, t in docs]
+    assert mine == sorted(((i, n, tuple(sorted(h)), tuple(sorted(map(str, s)))) for i, n, h, s in plain), key=repr)
+    assert all(r.n_hit == len(places(r)) for r in got)
+    assert any(r.n_hit for r in got) and not all(r.n_hit for r in got)
+
+
+def test_blocks_of_the_test_set_agree_with_one(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda: sorted(map(repr, phrases.decontamination_report(docs, items).collect()))
+    one = rows()
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(phrases, "CANDIDATES", 64)
+    assert phrases.phrase_blocks(items, phrases.Phrases())[1] > 3
+    assert rows() == one
+
+
+def test_phrases_of_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert phrases.decontamination_report(docs.limit(0), items).count() == 0
+    clean = phrases.decontamination_report(docs, items.limit(0)).collect()
+    assert [(r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in clean] == [(0, 0, sha(""), False)] * 2
+
+
+def test_the_index_is_not_shuffled(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = phrases.find_phrases(phrases.build_index(docs), spark.read.parquet(f"{SF}/benchmark.parquet"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
