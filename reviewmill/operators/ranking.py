@@ -93,3 +93,24 @@ def hash_cutoffs(
         .filter(F.col("_rank") == F.col("_need"))
         .select(*group, F.col("_h").alias("cutoff"))
     )
+
+
+def seeded_sample(df: DataFrame, row_keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """The n rows of `df` that come first in the shuffle order of their keys; all rows if there are no more.
+
+    Counts by hash prefix, of which there are 65,536, tell where the cut lies, and only the rows
+    of that prefix are ordered; the sample is then a filter and nothing else moves. Rows that
+    share the last key stay together, so keys that repeat can exceed n.
+    """
+    order, left, last = seeded_order(seed, *row_keys), n, None
+    for r in hash_counts(df, [], row_keys, seed).orderBy("_prefix").collect():
+        if r["_n"] > left:
+            last = r["_prefix"]
+            break
+        left -= r["_n"]
+    if last is None:
+        return df
+    if left == 0:
+        return df.filter(F.substring(order, 1, PREFIX_DIGITS) < last)
+    edge = df.filter(F.substring(order, 1, PREFIX_DIGITS) == last).select(order.alias("_h")).orderBy("_h").limit(left)
+    return df.filter(order <= edge.agg(F.max("_h")).first()[0])

@@ -206,3 +206,15 @@ def test_cluster_text_and_samples_take_all_rows_by_default(spark, monkeypatch):
             jobs.analyze(raw, None, sample=sample)
         except Picked as seen:
             assert seen.args[0] == n
+
+
+def test_seeded_sample(spark):
+    from reviewmill.operators.ranking import seeded_order, seeded_sample
+
+    df = spark.range(20_000).withColumn("x", F.lit(1)).repartition(6)
+    in_order = [r.id for r in df.orderBy(seeded_order(42, "id")).select("id").collect()]
+    for n in (0, 1, 7, 5000, 19_999, 20_000, 50_000):
+        got = seeded_sample(df, ["id"], n)
+        assert sorted(r.id for r in got.collect()) == sorted(in_order[:n])
+    plan = seeded_sample(df, ["id"], 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort" not in plan
