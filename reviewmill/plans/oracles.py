@@ -181,6 +181,21 @@ DENSITY = """WITH RECURSIVE points AS (SELECT vec_id AS row_id, label % 3 AS grp
 ), big AS (SELECT root FROM roots GROUP BY root HAVING count(*) >= 5)
 """
 
+HIERARCHY = """WITH RECURSIVE points AS (SELECT vec_id AS row_id, label % 3 AS grp, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), pairs AS (
+  SELECT a.row_id AS src, b.row_id AS dst, list_cosine_similarity(a.v, b.v) AS s FROM points a JOIN points b ON a.grp = b.grp AND a.row_id <> b.row_id
+), cuts AS (SELECT CAST(unnest([0.2, 0.25, 0.3]) AS DOUBLE) AS similarity
+), near AS (SELECT similarity, src, dst FROM pairs JOIN cuts ON s >= similarity
+), cores AS (SELECT similarity, src AS row_id FROM near GROUP BY ALL HAVING count(*) >= 2
+), reach(similarity, row_id, root) AS (
+  SELECT similarity, row_id, row_id FROM cores
+  UNION
+  SELECT similarity, near.dst, reach.root FROM reach JOIN near USING (similarity) JOIN cores USING (similarity)
+  WHERE near.src = reach.row_id AND cores.row_id = near.dst
+), roots AS (SELECT similarity, row_id, min(root) AS root FROM reach GROUP BY ALL
+), big AS (SELECT similarity, root FROM roots GROUP BY ALL HAVING count(*) >= 5)
+"""
+
 CLUSTER_TEXT = CLUSTERED + f""", texts AS (
   SELECT {CLUSTER_KEYS}, string_agg(content, ' ' ORDER BY row_id) AS cluster_text FROM (
     SELECT * FROM clustered WHERE cluster <> -1 QUALIFY row_number() OVER (PARTITION BY {CLUSTER_KEYS} ORDER BY row_id) <= 100)
@@ -450,6 +465,9 @@ def oracle_sql() -> dict[str, str]:
         "density_core_points": DENSITY + "SELECT row_id, row_id IN (SELECT row_id FROM cores) AS core FROM points",
         "density_blocked": DENSITY + """SELECT points.row_id, COALESCE(big.root, -1) AS cluster
             FROM points LEFT JOIN roots USING (row_id) LEFT JOIN big ON big.root = roots.root""",
+        "hierarchy_cuts": HIERARCHY + """SELECT points.row_id, COALESCE(big.root, -1) AS cluster, c.similarity
+            FROM points CROSS JOIN cuts c LEFT JOIN roots ON roots.row_id = points.row_id AND roots.similarity = c.similarity
+            LEFT JOIN big ON big.root = roots.root AND big.similarity = c.similarity""",
         "topic_flow": f"""WITH RECURSIVE {TOPIC_FLOW}, {keywords('placed')}, clustered AS (
               SELECT placed.*, CASE WHEN cluster = -1 THEN 'Uncategorized' ELSE COALESCE(keywords, 'N/A') END AS topic
               FROM placed LEFT JOIN named USING ({CLUSTER_KEYS})), {TOPICS} SELECT * FROM summed""",

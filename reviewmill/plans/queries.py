@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from reviewmill.functions import labels as L
 from reviewmill.functions import links, text
 from reviewmill.functions.vectors import l2_normalize
-from reviewmill.operators import density, features, fetch, lake, metrics, model, registry, report, split, summary, topics
+from reviewmill.operators import density, features, fetch, hierarchy, lake, metrics, model, registry, report, split, summary, topics
 from reviewmill.operators import freshness
 from reviewmill.operators.transform import drop_any_null, drop_blank, null_profile, transform_reviews
 from reviewmill.session import cut_lineage, keep, scratch_path
@@ -647,6 +648,21 @@ def density_blocked(spark, d):
     return out.select("row_id", "cluster")
 
 
+@query
+def hierarchy_cuts(spark, d):
+    """Each group's spanning tree, built in blocks, cut at three reaches."""
+    rows = grouped_vectors(spark, d).withColumn("vector", l2_normalize(F.col("vector").cast("array<double>")))
+    tree = cut_lineage(hierarchy.reach_tree(rows, ["grp"], min_samples=2, block_rows=100))
+    cuts = [hierarchy.cut_tree(tree, math.sqrt(2 - 2 * s), 5).withColumn("similarity", F.lit(s)) for s in (0.2, 0.25, 0.3)]
+    return cuts[0].unionByName(cuts[1]).unionByName(cuts[2])
+
+
+@query
+def hierarchical_clusters(spark, d):
+    """The clusters of every group that last longest, whatever their density."""
+    return hierarchy.hierarchical_clusters(grouped_vectors(spark, d), ["grp"], min_samples=2, min_cluster_size=5)
+
+
 @query
 def topic_flow(spark, d):
     """The whole topic flow on given vectors: fixed reach, no reduction, down to the topic table."""

@@ -244,9 +244,11 @@ def test_far_cells_do_not_meet(spark):
         {"_w": F.lit(1).cast("long"), "_ms": F.lit(3), "_mcs": F.lit(5)}
     )
     celled, pivots = density._cells(points, ["grp"], 40)
-    gaps = density._gaps(celled, pivots, ["grp"])
-    every, near = gaps.count(), density._within(gaps, F.lit(0.2)).count()
-    assert near < every / 3
-    assert density._median_reach(celled, gaps, ["grp"]).count() == 1
+    blocks = density._blocks(celled, ["grp"])
+    pairs = lambda reach: density._block_pairs(blocks.withColumn("_reach", F.lit(reach)), pivots, ["grp"]).count()
+    every, near = pairs(float("inf")), pairs(0.2)
+    n = blocks.count()
+    assert every == n * (n + 1) / 2 and near < every / 3
+    assert density._median_reach(celled, blocks, pivots, ["grp"]).count() == 1
     whole = {tuple(r) for r in density.density_clusters(vectors(spark, x), ["grp"], block_rows=5000).collect()}
     assert whole == {tuple(r) for r in density.density_clusters(vectors(spark, x), ["grp"], block_rows=40).collect()}
