@@ -124,11 +124,16 @@ def block_links(left: tuple, right: tuple, same: bool, dims: int, windows: Windo
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """(label, vector, rep, weight): comparable vectors, copies merged before they move."""
+    """(label, vector, rep, least, weight): comparable vectors, copies merged before they move.
+
+    `rep` names a vector of a label; it is a number of its own, since vec_ids may be null or
+    stand for several vectors. `least` is the smallest vec_id of the copies.
+    """
     v = F.col("vector")
     top = F.array_max(F.transform(v, F.abs))
-    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(v, lambda x: x.isNull()) & (top > 0) & (top < float("inf"))
-    return vectors.filter(usable).groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    usable = F.col("label").isNotNull() & ~F.exists(v, lambda x: x.isNull()) & (top > 0) & (top < float("inf"))
+    merged = vectors.filter(usable).groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    return cut_lineage(merged.withColumn("rep", F.monotonically_increasing_id()))
 
 
 def cells_of(distinct: DataFrame, windows: Windows) -> DataFrame:
@@ -150,6 +155,7 @@ def vector_links(distinct: DataFrame, windows: Windows) -> DataFrame:
     blocks = cut_lineage(
         celled.join(counts, place)
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+        .repartition(*place, "part")  # else the join's partitioning would leave a whole cell to one task
         .groupBy(*place, "part")
         .agg(F.collect_list(item).alias("rows"))
         .select(
@@ -190,25 +196,27 @@ def near_vectors(vectors: DataFrame, windows: Windows = Windows()) -> DataFrame:
 
     Vectors link when label and number of components agree and their cosine reaches the
     threshold; n_links counts the other rows linked directly, copies included. Vectors or labels
-    that are null, vectors that are empty, zero or hold null or non-finite components, and rows
-    without vec_id link with nothing and stay. Equal vectors are compared once. An empty table
-    gives no rows; other columns are ignored.
+    that are null, and vectors that are empty, zero or hold null or non-finite components link
+    with nothing and stay. Rows with a null vec_id take part and have a null component only if
+    all of its vec_ids are null; rows that share a vec_id are vectors of their own. Equal
+    vectors are compared once. An empty table gives no rows; other columns are ignored.
     """
     rows = vectors.select("vec_id", "label", F.col("embedding").alias("vector"))
-    distinct = cut_lineage(distinct_vectors(rows))
+    distinct = distinct_vectors(rows)
     links = cut_lineage(vector_links(distinct.select("label", "vector", "rep", "weight"), windows))
     counted = links.groupBy("rep").agg(F.sum("n").alias("n"))
     joined = connected_components(links.filter("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")).distinct())
+    placed = distinct.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = placed.groupBy("root").agg(F.min("least").alias("component"))
     per = (
-        distinct.join(counted, "rep", "left")
-        .join(joined.withColumnsRenamed({"node": "rep", "root": "component"}), "rep", "left")
+        placed.join(named, "root")
+        .join(counted, "rep", "left")
         .select(
-            F.col("label").alias("_label"), F.col("vector").alias("_vector"), F.coalesce("component", "rep").alias("component"),
+            F.col("label").alias("_label"), F.col("vector").alias("_vector"), "component",
             (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"),
         )
     )
-    usable = F.col("vec_id").isNotNull()
-    matched = rows.join(per, usable & (F.col("label") == F.col("_label")) & (F.col("vector") == F.col("_vector")), "left")
+    matched = rows.join(per, (F.col("label") == F.col("_label")) & (F.col("vector") == F.col("_vector")), "left")
     component = F.coalesce("component", "vec_id")
     return matched.select(
         "vec_id",
