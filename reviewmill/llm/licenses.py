@@ -3,7 +3,9 @@
 Every 3-word gram of a text is joined by hash with the positions of that gram in the license
 templates. A true notice puts many hits on one diagonal (text position less template position);
 neighbouring diagonals are merged, since a word added or left out shifts the rest, and a span
-counts when enough of its template's words are covered by grams compared as text.
+counts when enough of its template's words are covered by grams compared as text; a word put in
+costs as much as one left out. Where spans of several licenses overlap, the one with most grams
+wins, so "gnu lesser general public" is not "gnu general public" with a word too many.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reviewmill.session import cut_lineage
+
 K = 3
 NEIGHBOURS = 2
 COVERAGE = 0.8
@@ -21,19 +25,51 @@ BASE_PHRASES = [
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 ]
-# (label, notice): found when COVERAGE of the words stand in about this order.
+# (label, notice): found when COVERAGE of the words stand in about this order. Of any length;
+# where a notice holds a number, one of the grams with the number must be among them.
 NOTICES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "licensed under the mit license"),
+    ("mit", "released under the mit license"),
+    ("mit", "spdx license identifier mit"),
     ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2", "spdx license identifier apache 2 0"),
+    ("apache-2", "licensed under the apache 2 0 license"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
+    ("gpl-3", "gnu general public license v3 0"),
+    ("gpl-3", "spdx license identifier gpl 3 0"),
     ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-2", "gnu general public license v2 0"),
+    ("gpl-2", "spdx license identifier gpl 2 0"),
     ("gpl", "under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "under the terms of the gnu general public license"),
+    ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("lgpl", "under the terms of the gnu lesser general public license"),
+    ("lgpl", "spdx license identifier lgpl"),
+    ("agpl", "licensed under the gnu affero general public license"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "under the terms of the gnu affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "bsd 3 clause license"),
+    ("bsd", "bsd 2 clause license"),
+    ("bsd", "spdx license identifier bsd"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("mpl-2", "mozilla public license 2 0"),
+    ("mpl-2", "mozilla public license version 2 0"),
+    ("mpl-2", "spdx license identifier mpl 2 0"),
+    ("cc-by", "creative commons attribution license"),
+    ("cc-by", "licensed under a creative commons attribution"),
+    ("cc-by", "licensed under cc by"),
+    ("cc-by-nc", "licensed under cc by nc"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial"),
+    ("cc-by-nc", "licensed under a creative commons attribution non commercial"),
+    ("cc-by-sa", "licensed under cc by sa"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike"),
+    ("cc-by-sa", "licensed under a creative commons attribution share alike"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,61 +82,68 @@ def words_of(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, base: list[tuple[str, str]], notices: list[tuple[str, str]]) -> DataFrame:
-    """(template, label, base, n_words, versions, at, gram, h): one row per gram of each template.
+    """(template, label, base, n_grams, versions, at, gram, h): one row per gram of each template.
 
-    `versions` has a bit for each gram that holds a version number: a span must show one of them,
-    since licenses of two versions differ in little else.
+    `versions` lists the grams that hold a number: a span must show one of them, since licenses
+    of two versions differ in little else.
     """
     rows = []
     for number, (label, text, is_base) in enumerate([(*t, True) for t in base] + [(*t, False) for t in notices]):
         words = text.split()
-        if not K <= len(words) < 62 + K:
-            raise ValueError(f"a template needs {K} to {61 + K} words: {text}")
+        if len(words) < K:
+            raise ValueError(f"a template needs {K} words: {text}")
         grams = [words[at : at + K] for at in range(len(words) - K + 1)]
-        versions = sum(1 << at for at, gram in enumerate(grams) if any(w.isdigit() for w in gram))
-        rows += [(number, label, is_base, len(words), versions, at, " ".join(gram)) for at, gram in enumerate(grams)]
-    table = spark.createDataFrame(rows, "template int, label string, base boolean, n_words int, versions long, at int, gram string")
+        versions = [at for at, gram in enumerate(grams) if any(c.isdigit() for w in gram for c in w)]
+        rows += [(number, label, is_base, len(grams), versions, at, " ".join(gram)) for at, gram in enumerate(grams)]
+    table = spark.createDataFrame(rows, "template int, label string, base boolean, n_grams int, versions array<int>, at int, gram string")
     return table.withColumn("h", F.xxhash64("gram"))
 
 
 def license_votes(docs: DataFrame, base: list[tuple[str, str]] = BASE_PHRASES, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
-    """(doc_id, key, template, label, base, n_words, versions, diagonal, mask): a bit per template gram found there."""
+    """(doc_id, key, template, label, base, n_grams, versions, diagonal, found): the template grams found on a diagonal."""
     words = docs.select("doc_id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("words"))
     gram = lambda i: F.concat_ws(" ", *[F.get("words", i + j) for j in range(K)])
     grams = F.transform(F.sequence(F.lit(0), F.size("words") - K), gram)
     rows = words.filter(F.size("words") >= K).select("doc_id", "key", F.posexplode(grams).alias("pos", "found"))
     rows = rows.withColumn("h", F.xxhash64("found"))
-    templates = F.broadcast(template_grams(docs.sparkSession, base, notices))  # one row per word of the fixed templates
+    templates = F.broadcast(template_grams(docs.sparkSession, base, notices))  # one row per word of the stated templates
     hits = rows.join(templates, "h").filter(F.col("found") == F.col("gram"))
-    bit = F.expr("shiftleft(1L, at)")
-    return hits.groupBy("doc_id", "key", "template", "label", "base", "n_words", "versions", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or(bit).alias("mask")
-    )
-
-
-def covered_words(mask: Column) -> Column:
-    """Template words that the grams of a mask cover."""
-    spread = mask
-    for j in range(1, K):
-        spread = spread.bitwiseOR(F.shiftleft(mask, j))
-    return F.bit_count(spread)
+    by = ["doc_id", "key", "template", "label", "base", "n_grams", "versions", (F.col("pos") - F.col("at")).alias("diagonal")]
+    return hits.groupBy(*by).agg(F.collect_set("at").alias("found"))
 
 
 def license_spans(votes: DataFrame) -> DataFrame:
-    """(doc_id, key, label, start, score): spans of merged diagonals that cover enough of their template."""
+    """(doc_id, key, label, start, score): spans of merged diagonals that cover enough of their template.
+
+    Of overlapping spans of different labels those with most grams stay, of equally many those that
+    cover more of their template. A span stands from its first gram found to its last; the frame of
+    the comparison is as wide as the longest template.
+    """
     w = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(w) <= NEIGHBOURS
     merged = (
         votes.withColumn("_new", F.when(apart, 0).otherwise(1))
         .withColumn("_span", F.sum("_new").over(w))
-        .groupBy("doc_id", "key", "template", "label", "n_words", "versions", "_span")
-        .agg(F.min("diagonal").alias("start"), F.bit_or("mask").alias("mask"))
+        .groupBy("doc_id", "key", "template", "label", "n_grams", "versions", "_span")
+        .agg(F.min("diagonal").alias("diagonal"), F.max("diagonal").alias("_last"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    )
+    versioned = (F.size("versions") == 0) | F.arrays_overlap("versions", "found")
+    covered = F.size(F.array_distinct(F.flatten(F.transform("found", lambda a: F.sequence(a, a + K - 1)))))
+    score = covered / (F.col("n_grams") + K - 1 + F.col("_last") - F.col("diagonal"))
+    spans = merged.filter(versioned & (score >= COVERAGE)).select(
+        "doc_id", "key", "label", score.alias("score"), F.size("found").alias("_n"),
+        F.greatest("diagonal", F.lit(0)).cast("long").alias("start"),
+        (F.col("_last") + F.array_max("found") + K).cast("long").alias("_end"),
+        (F.greatest("diagonal", F.lit(0)) + F.array_min("found")).cast("long").alias("_begin"),
     )
-    score = F.least(covered_words(F.col("mask")) / F.col("n_words"), F.lit(1.0))
-    versioned = (F.col("versions") == 0) | (F.col("versions").bitwiseAND(F.col("mask")) != 0)
-    return merged.filter(versioned).select("doc_id", "key", "label", F.greatest("start", F.lit(0)).cast("long").alias("start"), score.alias("score")).filter(
-        F.col("score") >= COVERAGE
+    longest = max(len(text.split()) for _, text in [*BASE_PHRASES, *NOTICES]) + NEIGHBOURS * K
+    around = Window.partitionBy("doc_id", "key").orderBy("_begin").rangeBetween(-longest, longest)
+    others = F.collect_list(F.struct("label", F.struct("_n", "score").alias("rank"), "_begin", "_end")).over(around)
+    beaten = F.exists(
+        "_others",
+        lambda o: (o["label"] != F.col("label")) & (o["rank"] > F.struct("_n", "score")) & (o["_begin"] < F.col("_end")) & (o["_end"] > F.col("_begin")),
     )
+    return spans.withColumn("_others", others).filter(~beaten).select("doc_id", "key", "label", "start", "score")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -111,8 +154,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     found, 0 without any. Null and empty texts have no words; rows that repeat an id and text give
     repeated results, an empty table none; a null doc_id is an id. Other columns are ignored.
     """
-    votes = license_votes(docs)
-    places = votes.filter(F.col("base") & (F.col("mask") == F.expr(f"shiftleft(1L, n_words - {K - 1}) - 1")))
+    votes = cut_lineage(license_votes(docs))  # few rows; two branches read them, and no gram is made twice
+    places = votes.filter(F.col("base") & (F.size("found") == F.col("n_grams")))
     nothing = F.lit(None).cast("long")
     found = places.select("doc_id", "key", F.col("diagonal").cast("long").alias("place"), F.col("label").alias("base_label"), "label", F.lit(1.0).alias("score")).unionByName(
         license_spans(votes).select("doc_id", "key", nothing.alias("place"), F.lit(None).cast("string").alias("base_label"), "label", "score")

@@ -158,6 +158,84 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+LICENSED = [
+    ("Licensed under the GNU Lesser General Public License version 2.1", "lgpl"),
+    ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lgpl"),
+    ("Licensed under the GNU General Public License version 2", "gpl-2"),
+    ("GNU General Public License v3.0", "gpl-3"),
+    ("licensed under the GNU Affero General Public License", "agpl"),
+    ("Licensed under a Creative Commons Attribution 3.0 Unported License", "cc-by"),
+    ("licensed under CC BY-SA 3.0", "cc-by-sa"),
+    ("licensed under CC BY-NC 4.0", "cc-by-nc"),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 licence", "cc-by-sa"),
+    ("SPDX-License-Identifier: MIT", "mit"),
+    ("SPDX-License-Identifier: Apache-2.0", "apache-2"),
+    ("Mozilla Public License 2.0", "mpl-2"),
+    ("BSD 3-Clause License", "bsd"),
+    ("the general public has a license to read this", ""),
+    ("she was licensed under the new law", ""),
+    ("the software is provided as is, without warranty of any kind, either express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement", "mit"),
+    ("SPDX-License-Identifier: MIT " + "then other words " * 9 + "Mozilla Public License, version 2.0", "mit,mpl-2"),
+]
+
+
+def plain_license_labels(text):
+    """The method's labels by looking at every window of words: templates compared place by place."""
+    words = licenses_words(text)
+    spans = []
+    for label, notice in [*licenses.BASE_PHRASES, *licenses.NOTICES]:
+        w = notice.split()
+        grams = [tuple(w[i : i + licenses.K]) for i in range(len(w) - licenses.K + 1)]
+        hits = sorted((p - a, a) for a, g in enumerate(grams) for p in range(len(words)) if tuple(words[p : p + licenses.K]) == g)
+        runs = []
+        for d, a in hits:
+            if runs and d - runs[-1][-1][0] <= licenses.NEIGHBOURS:
+                runs[-1].append((d, a))
+            else:
+                runs.append([(d, a)])
+        for run in runs:
+            found, first, last = {a for _, a in run}, run[0][0], run[-1][0]
+            covered = {a + j for a in found for j in range(licenses.K)}
+            numbers = {a for a, g in enumerate(grams) if any(c.isdigit() for x in g for c in x)}
+            score = len(covered) / (len(w) + last - first)
+            if score >= licenses.COVERAGE and (not numbers or numbers & found):
+                spans.append((label, (len(found), score), max(first, 0) + min(found), last + max(found) + licenses.K))
+    return {a for a, n, b, e in spans if not any(x != a and m > n and s < e and t > b for x, m, s, t in spans)}
+
+
+def licenses_words(text):
+    return __import__("re").findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", __import__("re").sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_license_labels(spark):
+    rng = random.Random(4)
+    rows = [(i, t) for i, (t, _) in enumerate(LICENSED)]
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            words = rng.choice(licenses.NOTICES)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.choice([0, 1])] = rng.choice([[], ["lesser"], ["filler", "2"]])
+            parts += [*words, *["between"] * rng.randint(0, 5)]
+        rows.append((100 + i, " ".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    for i, t in rows:
+        base = {label for _, label in brute.license_places(t, licenses.BASE_PHRASES)[1]}
+        assert got[i].labels == ",".join(sorted(base | plain_license_labels(t))), t
+    assert [got[i].labels for i in range(len(LICENSED))] == [label for _, label in LICENSED]
+
+
+def test_vectors_with_null_and_repeated_ids(spark):
+    v, far = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, v, 1), (None, v, 1), (7, [0.999, 0.01, 0.0], 1), (5, far, 2), (8, far, 2), (9, far, 1), (9, v, 1), (None, [0.0, 0.0, 1.0], 3), (None, [0.0, 0.001, 1.0], 3), (1, None, 3)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, label int, least int").repartition(3)
+    got = sorted(map(repr, (tuple(r) for r in projections.near_vectors(df).collect())))
+    want = [(5, 3, 5, True), (None, 3, 5, False), (7, 3, 5, False), (5, 1, 5, True), (8, 1, 5, False), (9, 0, 9, True), (9, 3, 5, False), (None, 1, None, True), (None, 1, None, True), (1, 0, 1, True)]
+    assert got == sorted(map(repr, want))
+
+
 def test_license_query(spark):
     texts = {r.doc_id: r.text for r in read(spark, SMALL, "documents").collect()}
     for r in QUERIES["op8_license_scans"](spark, SMALL).collect():
