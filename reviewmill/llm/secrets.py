@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewmill.operators.ranking import seeded_sample
 from reviewmill.session import cut_lineage
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -140,16 +141,16 @@ def labelled_findings(docs: DataFrame, max_rows: int = 3_000) -> DataFrame:
     them, once as a secret (hex, base64 and prefixed keys after a key word) and once as what is
     often taken for one: checksums, identifiers, addresses, paths, numbered and compound words.
     """
-    few = (
-        docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    )
+    usable = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    # a filter, so that no text but the sample's moves; of a repeated id one text counts
+    few = seeded_sample(usable, ["doc_id"], max_rows).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     words = F.filter(split_words(F.col("text")), lambda w: w.rlike(r"^\p{L}+$"))
     base = few.select(
         "doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("s"), F.pmod(F.xxhash64("doc_id"), F.lit(12)).cast("int").alias("kind"),
         F.coalesce(F.get(words, F.lit(0)), F.lit("the")).alias("w0"), F.coalesce(F.get(words, F.lit(1)), F.lit("of")).alias("w1"),
         F.coalesce(F.get(F.filter(words, lambda w: F.length(w) >= VALUE_CHARS), F.lit(0)), F.lit("required")).alias("w2"),
     )
+    base = base.repartition(1).sortWithinPartitions("doc_id")  # max_rows short rows, in one order, so that the forest is the same in every run
     s, w0, w1, w2 = F.col("s"), F.col("w0"), F.col("w1"), F.col("w2")
     b64 = F.regexp_replace(F.base64(F.unhex(s)), "=", "")
     letters, digits = F.regexp_replace(b64, "[^A-Za-z]", ""), F.translate(s, "abcdef", "273941")
@@ -200,7 +201,8 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
     """
     rows = docs.select("doc_id", "text")
     dictionary = cut_lineage(corpus_dictionary(rows))
-    found = with_features(with_dictionary(find_candidates(rows), dictionary))
+    # written: its words are read for the dictionary's shares and again for the result
+    found = with_features(with_dictionary(cut_lineage(find_candidates(rows)), dictionary))
     train = cut_lineage(with_features(with_dictionary(labelled_findings(rows) if labelled is None else labelled, dictionary)))
     out = ["doc_id", F.col("word_at").cast("long").alias("word_at"), "candidate", F.col("n_chars").cast("long").alias("n_chars")]
     if train.select("label").distinct().count() < 2:
