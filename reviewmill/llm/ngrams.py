@@ -123,11 +123,17 @@ def parity_of(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Lineage cut by a written table in the shared folder."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+class Table:
+    """Lineage cut by a written table in the shared folder, to be removed once what was made of it is written too."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, name)
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.parquet(self.path)
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def profiled(docs: DataFrame, join: Join) -> DataFrame:
@@ -231,7 +237,7 @@ def as_pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join, short: bool) -> DataFrame:
+def sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join, short: bool) -> Table:
     """(node, n, elements) of the nodes of some pairs, from one text of each, read again.
 
     `short` keeps 16 bits of each element, distinct, in place of the element.
@@ -250,7 +256,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join, sho
             yield pd.DataFrame({"node": [node_of(s)[0] for s in sets], "n": [len(s) for s in sets], "elements": kept})
 
     kind = "short" if short else "long"
-    return table(chosen.mapInPandas(run, f"node long, n int, elements array<{kind}>"), "sets").dropDuplicates(["node"])
+    return Table(chosen.mapInPandas(run, f"node long, n int, elements array<{kind}>"), "sets")
 
 
 def enough_shared(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join, short: bool) -> DataFrame:
@@ -259,11 +265,14 @@ def enough_shared(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Joi
     Elements with equal 16 bits count as shared, and so do all that share their bits within one
     set, so the short form never rules out a link.
     """
-    sets = sets_of(docs, pairs, nodes, join, short)
+    written = sets_of(docs, pairs, nodes, join, short)
+    sets = written.rows.dropDuplicates(["node"])
     side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("elements").alias(f"{k}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_set", "b_set")) + F.col("a_n") - F.size("a_set")
-    return both.filter(shared * (100 + join.percent) >= (F.col("a_n") + F.col("b_n")) * join.percent).select("a", "b")
+    kept = cut_lineage(both.filter(shared * (100 + join.percent) >= (F.col("a_n") + F.col("b_n")) * join.percent).select("a", "b"))
+    written.remove()
+    return kept
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
@@ -272,8 +281,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) ->
     A quarter of each set, 16 bits of every element, moves first and settles nearly all near
     misses; whole sets move for true links and little else.
     """
-    possible = cut_lineage(enough_shared(docs, pairs, nodes, join, short=True))
-    return cut_lineage(enough_shared(docs, possible, nodes, join, short=False))
+    return enough_shared(docs, enough_shared(docs, pairs, nodes, join, short=True), nodes, join, short=False)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -297,7 +305,7 @@ def grouped(docs: DataFrame, join: Join) -> DataFrame:
     """`jaccard_groups` of (doc_id, text) or of (doc_id, text, text_key), with text_key where given."""
     whole_text_batches(docs)
     own = [c for c in docs.columns if c != "text"]
-    profile = table(profiled(docs, join), "profile")
+    profile = Table(profiled(docs, join), "profile").rows
     of_docs = profile.filter(F.col("size").isNotNull()).select(*own, "size", "node", "rest", *PARITIES)
     named = of_docs.filter("size > 0").groupBy("node").agg(
         F.min("doc_id").alias("min_doc"), F.min("rest").alias("low"), F.max("rest").alias("high"), *[F.max(p).alias(p) for p in PARITIES]
@@ -311,13 +319,14 @@ def grouped(docs: DataFrame, join: Join) -> DataFrame:
     for slot, n in profile.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("n")).collect():  # SLOTS rows at most
         counts[slot] = n
 
-    entries = table(list_entries(docs, join, counts), "entries")
-    # copies that two tasks have entered count twice here, and end at node <> pivot below
-    lists = entries.groupBy("token").agg(
-        F.min("at").alias("pivot_at"), F.min_by("node", "at").alias("pivot"), F.count(F.lit(1)).alias("_n")
-    ).filter("_n > 1").drop("_n")
-    live = table(entries.join(lists, "token"), "lists")
-    star = live.filter((F.col("node") != F.col("pivot")) & may_link(F.col("at"), F.col("pivot_at"), join))
+    entries = Table(list_entries(docs, join, counts), "entries")
+    # only tokens that recur go on; copies that two tasks have entered count twice here, and end at node <> pivot below
+    recurring = entries.rows.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("token")
+    written = Table(entries.rows.join(recurring, "token", "left_semi"), "lists")
+    entries.remove()
+    live = written.rows
+    pivots = live.groupBy("token").agg(F.min("at").alias("pivot_at"), F.min_by("node", "at").alias("pivot"))
+    star = live.join(pivots, "token").filter((F.col("node") != F.col("pivot")) & may_link(F.col("at"), F.col("pivot_at"), join))
     tried = cut_lineage(as_pairs(star, "node", "pivot"))
     links = verified(docs, tried, nodes, join)
     found = components(links)
@@ -326,11 +335,13 @@ def grouped(docs: DataFrame, join: Join) -> DataFrame:
     rooted = large.join(found, "node", "left").select("token", "node", "at", F.coalesce("root", "node").alias("root"))
     per_root = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed_lists = cut_lineage(per_root.groupBy("token").agg(F.max_by("root", "n").alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    apart = table(rooted.join(mixed_lists.select("token", "main"), "token").join(parities, "node"), "apart")
-    other = apart.filter("root <> main").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "at", "root", *PARITIES)])
+    apart = Table(rooted.join(mixed_lists.select("token", "main"), "token").join(parities, "node"), "apart")
+    written.remove()
+    other = apart.rows.filter("root <> main").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "at", "root", *PARITIES)])
     possible = may_link(F.col("at"), F.col("_at"), join) & may_differ_so_little(F.col("at"), F.col("_at"), join)
-    scanned = apart.join(other, "token").filter((F.col("root") != F.col("_root")) & possible)
+    scanned = apart.rows.join(other, "token").filter((F.col("root") != F.col("_root")) & possible)
     rest = cut_lineage(as_pairs(scanned, "node", "_node").join(tried, ["a", "b"], "left_anti"))
+    apart.remove()
     more = verified(docs, rest, nodes, join)
     found = components(links.unionByName(more))
 
