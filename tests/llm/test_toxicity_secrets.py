@@ -44,7 +44,7 @@ def test_linear_fit_reaches_the_optimum():
     y = (rng.random(n) < toxicity.logistic(x @ rng.standard_normal(width) + dense @ [1.0, -2.0])).astype(float)
     row, col = np.nonzero(x)
     inputs = toxicity.Inputs(n, width, row, col, np.ones(len(row)), dense)
-    w = toxicity.fit_linear(inputs, y, toxicity.Training(steps=3000, penalty=1.0))
+    w = toxicity.fit_linear(inputs, y, toxicity.Training(steps=3000, tolerance=1e-6, penalty=1.0))
     full = np.column_stack([x, dense, np.ones(n)])
     slope = full.T @ (toxicity.logistic(full @ w) - y)
     slope[:-1] += w[:-1]
@@ -67,6 +67,27 @@ def test_toxicity_edges(spark):
     assert scored == {i: i % 4 == 0 for i in range(80)} | {500: False}
 
 
+def test_repeated_documents_keep_the_sample_bounded(spark):
+    words = lambda i: ("vile brute " if i % 4 == 0 else "kind friend ") * 3 + str(i)
+    rows = [(i, words(i), "en") for i in range(80)] + [(4, words(4), "en")] * 300 + [(8, "some other text", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)] + [(4, 1)] * 5, "doc_id long, toxic int")
+    for most in (50, 500):
+        sample = toxicity.labelled_sample(docs, labels, toxicity.Training(max_rows=most)).collect()
+        assert len(sample) == len({r.doc_id for r in sample}) == min(most, 80)
+    scored = toxicity.score_toxicity(docs, toxicity.train_chain(docs, labels)).collect()
+    assert all(r.toxic == (r.doc_id % 4 == 0) for r in scored if r.doc_id != 8)
+
+
+def test_threshold_keeps_the_recall_floor():
+    y = np.array([1, 1, 0, 1, 0, 0, 1, 0, 0, 0], dtype=float)
+    score = np.linspace(0.9, 0.1, 10)
+    for floor in (0.0, 0.5, 0.75, 1.0):
+        at = toxicity.best_threshold(score, y, floor)
+        assert y[score >= at].sum() >= floor * y.sum()
+    assert toxicity.best_threshold(score, y, 0.0) > toxicity.best_threshold(score, y, 1.0)
+
+
 def test_secrets_in_the_corpus(spark):
     found = QUERIES["op10_secret_scan"](spark, LARGER).join(read(spark, LARGER, "documents").select("doc_id", "text"), "doc_id")
     truth = F.expr("candidate rlike '^[0-9a-fA-F]{40}$' AND lower(text) rlike concat('token\\\\W+', lower(candidate))")
