@@ -16,6 +16,7 @@ from reviewmill.operators import freshness
 from reviewmill.operators.transform import drop_any_null, drop_blank, null_profile, transform_reviews
 from reviewmill.session import cut_lineage, keep, scratch_path
 from reviewmill.sources import reviews, tables
+from reviewmill.streaming import lookups
 from reviewmill.streaming.ingest import ingest_stream
 
 QUERIES: dict = {}
@@ -333,6 +334,19 @@ def stream_ingest(spark, d):
     return lake.read_lake(spark, path).select("id", "content_hash", "source", "score", "thumbs_up_count")
 
 
+@query
+def stream_ingest_replayed(spark, d):
+    """The documents landing twice, replays kept from the lake by keyed state under a watermark."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    landing, path = scratch_path(spark, "landing"), scratch_path(spark, "lake")
+    docs.write.parquet(landing)
+    docs.write.mode("append").parquet(landing)
+    landed = spark.readStream.schema(docs.schema).parquet(landing)
+    rows = tables.as_reviews(landed, F.col("_metadata.file_modification_time").alias("arrived_at"))
+    ingest_stream(rows, path, SOURCE, scratch_path(spark, "stream"), "arrived_at").awaitTermination()
+    return lake.read_lake(spark, path).select("id", "content_hash", "source", "score", "thumbs_up_count")
+
+
 # --- summaries ------------------------------------------------------------------------
 
 
@@ -724,3 +738,18 @@ def fresh_results(spark, d):
 def fresh_results_invalidate(spark, d):
     requests, results, removals = tables.lookups(spark, d)
     return freshness.fresh_results(requests, results, removals)
+
+
+@query
+def fresh_results_stream(spark, d):
+    """fresh_results_invalidate as a stream: keyed state, results that expire, removals."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    landed = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+    # a closing row, as a feed's heartbeat would be: the watermark passes the last result's end
+    end = spark.read.parquet(f"{d}/events.parquet").agg(F.max("ts").alias("ts"))
+    clock, out = scratch_path(spark, "clock"), scratch_path(spark, "answers")
+    end.select(F.lit(None).cast("long").alias("key"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).write.parquet(clock)
+    ticking = spark.readStream.schema("key long, ts timestamp_ntz").parquet(clock)
+    events = lookups.lookup_events(*tables.lookups_of(landed), ticking)
+    lookups.lookup_stream(events, out, scratch_path(spark, "stream")).awaitTermination()
+    return spark.read.parquet(out)

@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def as_reviews(documents: DataFrame) -> DataFrame:
-    """documents as scraped reviews: the source is the app, length stands in for score and votes."""
+def as_reviews(documents: DataFrame, *more) -> DataFrame:
+    """documents as scraped reviews: the source is the app, length stands in for score and votes; and columns named besides."""
     return documents.select(
         F.col("source").alias("app_id"),
         F.col("doc_id").cast("string").alias("reviewId"),
@@ -28,6 +28,7 @@ def as_reviews(documents: DataFrame) -> DataFrame:
         (F.col("n_chars") % 5 + 1).cast("int").alias("score"),
         (F.col("n_chars") % 100).cast("int").alias("thumbsUpCount"),
         F.col("doc_id").alias("row_id"),
+        *more,
     )
 
 
@@ -71,8 +72,10 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lookups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """events as (requests, results, removals) of analysis results, one key per user."""
-    events = table(spark, sf_dir, "events")
+    return lookups_of(table(spark, sf_dir, "events"))
 
+
+def lookups_of(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     def of(kind: str, *cols):
         return events.filter(F.col("event_type") == kind).select(F.col("user_id").alias("key"), *cols)
 
