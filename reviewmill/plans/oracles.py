@@ -490,6 +490,9 @@ def oracle_sql() -> dict[str, str]:
             ), judged AS (SELECT *, COALESCE(m.kind = 0 AND ts < m.at + INTERVAL 1800 SECOND AND NOT forced, false) AS hit FROM met WHERE kind > 0)
             SELECT request_id, key, ts, CASE WHEN kind = 2 THEN 'request' ELSE 'removal' END AS kind, hit, CASE WHEN hit THEN m.at END AS result_at FROM judged""",
     }
+    sql["neighbour_recall"] = """WITH sized AS (SELECT label % 3 AS grp, count(*) AS n FROM embeddings GROUP BY ALL),
+        asked AS (SELECT label % 3 AS grp, count(*) AS q FROM embeddings WHERE vec_id % 100 = 0 GROUP BY ALL)
+        SELECT grp, CAST(q * least(10, n - 1) AS BIGINT) AS n, true AS enough FROM asked JOIN sized USING (grp)"""
     sql["fresh_results_stream"] = sql["fresh_results_invalidate"]
     sql["stream_ingest_replayed"] = sql["stream_ingest"]
     return sql
