@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.operators.features import hashed_vectors
-from reviewmill.operators.fetch import dedup_reviews, fetch, latest_slice, seeded_sample
+from reviewmill.operators.fetch import checked_strategy, dedup_reviews, fetch, latest_slice, seeded_sample
 from reviewmill.operators.lake import LoadSummary, append_to_lake
 from reviewmill.operators.metrics import classification_report, weighted_metrics
 from reviewmill.operators.model import LinearModel, SvmParams, label_with, score_reviews, train_svm
@@ -22,6 +22,7 @@ from reviewmill.operators.topics import cluster_topics
 from reviewmill.operators.transform import transform_reviews
 from reviewmill.session import cut_lineage, keep
 
+ALL_REVIEWS, SAMPLED = "every_review", "random_sample"
 MEASURES = ["accuracy", "precision", "recall", "f1"]
 
 
@@ -32,9 +33,24 @@ def load_job(df: DataFrame, lake_path: str, source: str, batch_id: str | None =
     return append_to_lake(transform_reviews(df), lake_path, source, batch_id, has_text=True)
 
 
-def scrape_load_job(raw: DataFrame, strategy: str, scorer, lake_path: str, source: str) -> LoadSummary:
-    """Fetch from a landed dump, label with the user's classifier, clean and append."""
-    picked = fetch(raw, strategy)
+def picked_reviews(raw: DataFrame, strategy: str, sample: int | None, counts: dict[str, int] | None) -> tuple[DataFrame, str]:
+    """The reviews that a job works on, and what was done to get them.
+
+    Without `counts` (newest_count, relevant_count) every review is taken, each id once, and the
+    strategy is only checked; a `sample` per app is drawn after that.
+    """
+    checked_strategy(strategy)
+    if counts is not None:
+        return fetch(raw, strategy, sample=sample, **counts), strategy
+    every = dedup_reviews(raw, [F.desc("row_id")])
+    return (every, ALL_REVIEWS) if sample is None else (seeded_sample(every, sample, 42), SAMPLED)
+
+
+def scrape_load_job(
+    raw: DataFrame, strategy: str, scorer, lake_path: str, source: str, sample: int | None = None, counts: dict[str, int] | None = None
+) -> LoadSummary:
+    """Take reviews from a landed dump, label them with the user's classifier, clean and append; all of them unless the caller names limits."""
+    picked, _ = picked_reviews(raw, strategy, sample, counts)
     if picked.isEmpty():
         return LoadSummary(None, 0, 0)
     return load_job(label_with(picked, scorer), lake_path, source)
@@ -105,19 +121,15 @@ def analyze(
 
     All rows are analysed unless the caller names a strategy's `counts` (newest_count,
     relevant_count) or a `sample` per app; a sample without counts is drawn from all rows. The
-    scored rows are written once, because the count and four summaries read them.
+    scored rows are written once, because the count and four summaries read them. scraping_method
+    says what was done. Without `complete_with` there is no insight, and the record's is empty.
     """
-    if counts is None:
-        picked = dedup_reviews(raw, [F.desc("row_id")])
-        picked = picked if sample is None else seeded_sample(picked, sample, 42)
-    else:
-        picked = fetch(raw, strategy, sample=sample, **counts)
+    picked, method = picked_reviews(raw, strategy, sample, counts)
     scored = cut_lineage(score_reviews(picked, model))
     percentages = sentiment_percentages(scored)
     top = cut_lineage(top_reviews(scored))
     summary = cut_lineage(topic_summary(cluster_topics(scored, encode=encode, **topics)))
-    prompts = insight_prompt(top, summary, scored)
-    insights = complete(prompts, complete_with) if complete_with else prompts.withColumnRenamed("prompt", "insight")
+    insights = complete(insight_prompt(top, summary, scored), complete_with) if complete_with else None
     return analysis_result(
-        apps if apps is not None else raw, scored, percentages, top_reviews_nested(top, scored), summary, insights, strategy
+        apps if apps is not None else raw, scored, percentages, top_reviews_nested(top, scored), summary, insights, method
     )

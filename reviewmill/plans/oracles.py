@@ -198,7 +198,7 @@ HIERARCHY = """WITH RECURSIVE points AS (SELECT vec_id AS row_id, label % 3 AS g
 
 CLUSTER_TEXT = CLUSTERED + f""", texts AS (
   SELECT {CLUSTER_KEYS}, string_agg(content, ' ' ORDER BY row_id) AS cluster_text FROM (
-    SELECT * FROM clustered WHERE cluster <> -1 QUALIFY row_number() OVER (PARTITION BY {CLUSTER_KEYS} ORDER BY row_id) <= 100)
+    SELECT * FROM clustered WHERE cluster <> -1 QUALIFY row_number() OVER (PARTITION BY {CLUSTER_KEYS} ORDER BY row_id) <= 3)
   GROUP BY {CLUSTER_KEYS})"""
 
 
@@ -459,6 +459,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT cleaned.row_id, CASE WHEN content = '' THEN 'unknown' WHEN decided.s0 IS NULL THEN 'negative' WHEN decided.s0 >= decided.s1 AND decided.s0 >= decided.s2 THEN 'negative'
                 WHEN decided.s1 >= decided.s2 THEN 'neutral' ELSE 'positive' END AS sentiment, {', '.join(f'round(sums.s{i}, 6) AS score_{i}' for i in range(3))}
             FROM cleaned LEFT JOIN sums USING (row_id) LEFT JOIN decided USING (row_id)""",
+        "model_registry": f"""WITH {LABELED}, known AS (SELECT * FROM labeled WHERE label IS NOT NULL), occ AS ({terms('known', 'row_id, label', 'content')}),
+            vocab AS ({vocab('occ', 'known')}), coefs AS (SELECT term, df, {', '.join(f"count(DISTINCT CASE WHEN label = '{c}' THEN row_id END) / df - 1.0 / 3 AS c{i}" for i, c in enumerate(['negative', 'neutral', 'positive']))}
+              FROM occ JOIN vocab USING (term) GROUP BY term, df
+            ), cleaned AS (SELECT row_id, {clean('content')} AS content FROM raw), again AS ({terms('cleaned', 'row_id', 'content')}), reweighed AS ({weights('again', 'vocab')}),
+            sums AS (SELECT row_id, {', '.join(f'sum(weight * c{i}) AS s{i}' for i in range(3))} FROM reweighed JOIN coefs USING (term) GROUP BY row_id),
+            runs(k, b0, b1, b2) AS (VALUES (0, 0.0, 0.0, 0.0), (1, 0.25, 0.0, -0.25), (2, -0.5, -0.5, 0.5), (3, 0.25, 0.0, -0.25)),
+            scores AS (SELECT k, row_id, content, {', '.join(f'coalesce(s{i}, 0) + b{i} AS s{i}' for i in range(3))} FROM cleaned CROSS JOIN runs LEFT JOIN sums USING (row_id)),
+            decided AS (SELECT k, row_id, CASE WHEN content = '' THEN NULL WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS guess FROM scores),
+            hits AS (SELECT k, {code('label')} AS cls, guess FROM decided JOIN known USING (row_id) WHERE guess IS NOT NULL),
+            sides AS (SELECT k, cls, 1 AS support, CAST(cls = guess AS INTEGER) AS tp, 0 AS predicted FROM hits UNION ALL SELECT k, guess, 0, 0, 1 FROM hits),
+            classes AS (SELECT k, cls, sum(support) AS support, CASE WHEN sum(predicted) + sum(support) > 0 THEN 2 * sum(tp) / (sum(predicted) + sum(support)) ELSE 0 END AS f1 FROM sides GROUP BY k, cls),
+            measured AS (SELECT k, round(sum(f1 * support) / sum(support), 9) AS f1 FROM classes GROUP BY k),
+            gates AS (SELECT k, f1, coalesce(f1 > max(f1) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS wins FROM measured),
+            champion AS (SELECT max(k) AS k, CAST(count(*) AS INTEGER) AS version, max(f1) AS f1 FROM gates WHERE wins)
+            SELECT row_id, CASE guess WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' WHEN 2 THEN 'positive' ELSE 'unknown' END AS sentiment,
+              'r' || k AS champion, version, f1 FROM decided JOIN champion USING (k)""",
         "eligible_groups": f"WITH {LANG_FELT} SELECT * FROM sizes WHERE n >= 30",
         "cluster_params": f"""WITH {LANG_FELT}, sized AS (SELECT *, CAST(greatest(15, least(80, floor(n * 0.02))) AS INTEGER) AS min_cluster_size FROM sizes)
             SELECT *, CAST(greatest(5, min_cluster_size // 5) AS INTEGER) AS min_samples FROM sized""",

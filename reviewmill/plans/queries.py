@@ -29,6 +29,7 @@ BATCHES = [
 # k below the group sizes of the tables, so that every selection cuts
 FETCH = dict(newest_count=20, relevant_count=20, sample=25)
 SAMPLE, CAP, SLICE = 20, 5, 300
+INTERCEPTS = [[0.0, 0.0, 0.0], [0.25, 0.0, -0.25], [-0.5, -0.5, 0.5], [0.25, 0.0, -0.25]]  # of the models that compete
 CLUSTER_ARGS = dict(min_similarity=0.30, min_samples=2, min_cluster_size=5)
 
 
@@ -556,9 +557,8 @@ def scoring_rows(spark, d):
     return rows.select("row_id", text.survives_cleaning(F.col("content")).alias("scored"))
 
 
-@query
-def linear_scores(spark, d):
-    """Table scoring with a stand-in model: a term's coefficient is its share of each class."""
+def share_weights(spark, d) -> DataFrame:
+    """A stand-in weight table: a term's coefficient is its share of each class."""
     rows = tables.labeled(spark, d).filter(F.col("label").isNotNull())
     vocab = features.vocabulary(rows)
     seen = features.each_term(features.term_lists(rows, ["label"]), ["label"], distinct=True)
@@ -566,7 +566,13 @@ def linear_scores(spark, d):
         *[F.count_if(F.col("label") == c).alias(c) for c in ["negative", "neutral", "positive"]]
     )
     coef = F.array(*[F.col(c) / F.col("df") - F.lit(1.0) / 3 for c in ["negative", "neutral", "positive"]])
-    weights = keep(vocab.join(per, "term").select("term", "idf", coef.alias("coef")))
+    return keep(vocab.join(per, "term").select("term", "idf", coef.alias("coef")))
+
+
+@query
+def linear_scores(spark, d):
+    """Table scoring with a stand-in model."""
+    weights = share_weights(spark, d)
     fitted = model.LinearModel(weights, [0, 1, 2], [0.25, 0.0, -0.25], weights.count())
     every = tables.raw_reviews(spark, d)
     scored = model.class_scores(every, fitted)
@@ -576,6 +582,24 @@ def linear_scores(spark, d):
     )
 
 
+@query
+def model_registry(spark, d):
+    """Measure three models, store and log each, promote the best, load the champion from disk and score every review."""
+    weights, home = share_weights(spark, d), scratch_path(spark, "models")
+    size, every = weights.count(), tables.raw_reviews(spark, d)
+    known = keep(tables.labeled(spark, d).filter(F.col("label").isNotNull()).select("row_id", "content", L.encode_label(F.col("label")).alias("label")))
+    for at, intercepts in enumerate(INTERCEPTS):
+        fitted = model.LinearModel(weights, [0, 1, 2], intercepts, size)
+        fitted.save(f"{home}/m{at}")
+        guess = model.score_reviews(known, fitted, decode=False).filter("label IS NOT NULL").select("row_id", F.col("label").alias("prediction"))
+        measured = metrics.weighted_metrics(guess.join(known, "row_id")).first()
+        run = {"model_name": "m", "run_id": f"r{at}", "test_f1": round(measured["f1"], 9), "params": {}, "metrics": {"f1": measured["f1"]}, "report": "", "model_path": f"{home}/m{at}"}
+        champion, _ = registry.register_run(spark, f"{home}/runs", run)
+    best = registry.resolve_champion(spark, f"{home}/runs", "m")
+    scored = model.score_reviews(every, best).select("row_id", "sentiment")
+    return scored.withColumns({"champion": F.lit(champion["run_id"]), "version": F.lit(champion["version"]), "f1": F.lit(champion["test_f1"])})
+
+
 @query
 def score_reviews(spark, d):
     """Train on the training split of the labelled reviews, score every review."""
@@ -710,7 +734,7 @@ def neighbour_recall(spark, d):
 
 @query
 def cluster_text(spark, d):
-    return topics.cluster_text(tables.clustered(spark, d), reviews=100)
+    return topics.cluster_text(tables.clustered(spark, d), reviews=3)
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from reviewmill.operators import density, features, metrics, model, registry, split, topics
 from reviewmill.operators.components import connected_components
 from reviewmill.operators.lake import read_lake
-from reviewmill.plans.jobs import analyze, scrape_load_job, train_job
+from reviewmill.plans.jobs import analyze, picked_reviews, scrape_load_job, train_job
 from reviewmill.schema import ReviewDataError
 
 GOOD = ["great app love it", "love this great app", "works great love", "great love app works"]
@@ -234,6 +234,21 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert sorted(out["app1"]["topic_summary"]) == sorted(out["app1"]["top_reviews"]) == ["negative", "neutral", "positive"]
     assert out["empty"]["review_count"] == 0 and out["empty"]["sentiment_percentages"] == {} and out["empty"]["llm_insight"] == ""
     assert out["empty"]["top_reviews"] == {} and out["empty"]["topic_summary"] == {}
+    assert {r["scraping_method"] for r in out.values()} == {"every_review"} and out["app1"]["llm_insight"] == ""
+
+
+def test_strategy_and_counts_of_jobs(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [(i, "a", f"r{i}", f"text number {i} here", 1 + i % 5, i) for i in range(40)], "row_id long, app_id string, reviewId string, content string, score int, thumbsUpCount int"
+    )
+    with pytest.raises(ReviewDataError):
+        picked_reviews(raw, "best_reviews", None, None)
+    count = lambda **kw: (lambda p: (p[0].count(), p[1]))(picked_reviews(raw, "new_reviews", kw.get("sample"), kw.get("counts")))
+    assert count() == (40, "every_review") and count(sample=7) == (7, "random_sample")
+    assert count(counts={"newest_count": 9}) == (9, "new_reviews") and count(counts={"newest_count": 0}) == (0, "new_reviews")
+    scorer = lambda: lambda texts: ["positive"] * len(texts)
+    assert scrape_load_job(raw, "new_reviews", scorer, str(tmp_path / "lake"), "s").inserted == 40
+    assert scrape_load_job(raw, "new_reviews", scorer, str(tmp_path / "few"), "s", counts={"newest_count": 5}).inserted == 5
 
 
 def test_far_cells_do_not_meet(spark):
