@@ -229,6 +229,35 @@ def keywords(rows: str) -> str:
 
 KEYWORDS = CLUSTERED + ", " + keywords("clustered")
 
+def letters(x: str) -> str:
+    """Counts of eight letters at unit length; without any of them, zeros."""
+    counts = f"[CAST(length(lower(coalesce({x}, ''))) - length(replace(lower(coalesce({x}, '')), c, '')) AS DOUBLE) FOR c IN ['e', 't', 'a', 'o', 'i', 'n', 's', 'r']]"
+    return unit(counts)
+
+
+def unit(v: str) -> str:
+    return f"[q / CASE WHEN list_inner_product({v}, {v}) > 0 THEN sqrt(list_inner_product({v}, {v})) ELSE 1 END FOR q IN {v}]"
+
+
+def keywords_by_vector() -> str:
+    best = f"row_number() OVER (PARTITION BY {CLUSTER_KEYS} ORDER BY cost, term) = 1"
+    cosine = lambda a, b: f"list_inner_product({a}, {b})"
+    means = ", ".join(f"avg(v[{i}])" for i in range(1, 9))
+    return f"""occ AS ({terms("(SELECT * FROM clustered WHERE cluster <> -1)", CLUSTER_KEYS, 'content', stop=True)}
+), coded AS (SELECT {CLUSTER_KEYS}, {letters('content')} AS v FROM clustered WHERE cluster <> -1
+), sums AS (SELECT {CLUSTER_KEYS}, [{means}] AS m FROM coded GROUP BY ALL
+), centres AS (SELECT {CLUSTER_KEYS}, {unit('m')} AS m FROM sums
+), every AS MATERIALIZED (SELECT DISTINCT {CLUSTER_KEYS}, term, {letters('term')} AS v FROM occ
+), scored AS MATERIALIZED (SELECT {CLUSTER_KEYS}, term, v, round({cosine('v', 'm')}, 9) AS score FROM every JOIN centres USING ({CLUSTER_KEYS})
+), first_ AS (SELECT {CLUSTER_KEYS}, term AS t1, v AS v1, term, -score AS cost FROM scored QUALIFY {best}
+), second_ AS (SELECT {CLUSTER_KEYS}, t1, v1, s.term AS t2, s.v AS v2, s.term, round(0.5 * {cosine('v1', 's.v')} - 0.5 * score, 9) AS cost
+  FROM scored s JOIN (SELECT * EXCLUDE (term, cost) FROM first_) USING ({CLUSTER_KEYS}) WHERE s.term <> t1 QUALIFY {best}
+), third_ AS (SELECT {CLUSTER_KEYS}, s.term AS t3, s.term, round(0.5 * greatest({cosine('v1', 's.v')}, {cosine('v2', 's.v')}) - 0.5 * score, 9) AS cost
+  FROM scored s JOIN (SELECT * EXCLUDE (term, cost) FROM second_) USING ({CLUSTER_KEYS}) WHERE s.term <> t1 AND s.term <> t2 QUALIFY {best})
+SELECT {CLUSTER_KEYS}, concat_ws(' | ', t1, t2, t3) AS keywords FROM first_ LEFT JOIN (SELECT {CLUSTER_KEYS}, t2 FROM second_) USING ({CLUSTER_KEYS})
+  LEFT JOIN (SELECT {CLUSTER_KEYS}, t3 FROM third_) USING ({CLUSTER_KEYS})"""
+
+
 GRID = "grid AS (SELECT app_id, unnest(['positive', 'neutral', 'negative']) AS sentiment FROM (SELECT DISTINCT app_id FROM felt))"
 
 BLOCKS_BODY = f"""{GRID}, blocks AS (
@@ -491,6 +520,7 @@ def oracle_sql() -> dict[str, str]:
             FROM points LEFT JOIN roots USING (row_id) LEFT JOIN big ON big.root = roots.root""",
         "cluster_text": f"WITH {CLUSTER_TEXT} SELECT * FROM texts",
         "cluster_keywords": f"WITH {KEYWORDS} SELECT * FROM named",
+        "keyphrases_by_vector": f"WITH {CLUSTERED}, {keywords_by_vector()}",
         "topic_names": f"""WITH {KEYWORDS}, sizes AS (SELECT {CLUSTER_KEYS}, count(*) AS n FROM clustered GROUP BY ALL)
             SELECT {CLUSTER_KEYS}, n, CASE WHEN cluster = -1 THEN 'Uncategorized' ELSE COALESCE(keywords, 'N/A') END AS topic
             FROM sizes LEFT JOIN named USING ({CLUSTER_KEYS})""",

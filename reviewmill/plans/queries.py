@@ -30,6 +30,7 @@ BATCHES = [
 FETCH = dict(newest_count=20, relevant_count=20, sample=25)
 SAMPLE, CAP, SLICE = 20, 5, 300
 INTERCEPTS = [[0.0, 0.0, 0.0], [0.25, 0.0, -0.25], [-0.5, -0.5, 0.5], [0.25, 0.0, -0.25]]  # of the models that compete
+LETTERS = "etaoinsr"
 CLUSTER_ARGS = dict(min_similarity=0.30, min_samples=2, min_cluster_size=5)
 
 
@@ -743,6 +744,23 @@ def cluster_keywords(spark, d):
     return out.select("app_id", "sentiment", "cluster", F.array_join("keywords", " | ").alias("keywords"))
 
 
+def letter_vectors(df: DataFrame, text_col: str = "content") -> DataFrame:
+    """A stand-in encoder: how often eight letters stand in a text."""
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    counts = [(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS]
+    return df.withColumn("vector", F.array(*counts))
+
+
+@query
+def keyphrases_by_vector(spark, d):
+    """Key phrases chosen by cosine with the cluster's centre and with each other."""
+    rows = tables.clustered(spark, d)
+    centres = topics.cluster_centres(rows, letter_vectors(rows).select("row_id", "vector"))
+    phrases = topics.keyphrase_vectors(topics.keyphrase_scores(rows), centres, letter_vectors)
+    out = topics.pick_by_vector(phrases)
+    return out.select("app_id", "sentiment", "cluster", F.array_join("keywords", " | ").alias("keywords"))
+
+
 @query
 def topic_names(spark, d):
     rows = tables.clustered(spark, d)
