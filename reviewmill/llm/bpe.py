@@ -2,7 +2,7 @@
 
 The helpers here follow a tokenizer file of the usual JSON form (byte-level BPE). A text is
 cut at special strings, then into words by the file's pattern; the words' bytes are merged.
-Spark deals the rows out; a Python worker keeps one vocabulary and a bounded word cache.
+Spark deals the rows out; a Python worker keeps one vocabulary, a task a bounded word cache.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 # Fixed value: how byte-level files cut text into words, with the classes L (letters), N (numbers)
 # and S (white space) still to be filled in.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
-CACHED_WORDS, CACHED_CHARS = 200_000, 40  # each of two generations
+CACHED_WORDS, CACHED_CHARS = 100_000, 40  # each of two generations
 FAN = 16
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
@@ -167,9 +167,8 @@ def merge_word(ids: list[int], ranks: dict[int, int], merged: list[int]) -> list
     return out
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids, unsigned 32-bit integers. A worker keeps it, and its cache, from task to task."""
+    """A function from a text to its ids, unsigned 32-bit integers; its word cache ends with the task that asked for it."""
     vocab = vocabulary(path)
     byte_ids, ranks, merged = vocab.byte_ids, vocab.ranks, vocab.merged
 
@@ -215,6 +214,29 @@ def text_of(ids: Column, path: str) -> Column:
     return run(ids)
 
 
+def checked_ids(text: Column, path: str) -> Column:
+    """struct<ids, n_tokens, round_trip>: a text's ids, and whether they decode to it. One pass, so one Python worker a task."""
+
+    @F.pandas_udf("ids array<int>, n_tokens long, round_trip boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode, vocab = encoder(path), vocabulary(path)
+
+        def checked(text: str | None) -> tuple[np.ndarray, int, bool]:
+            ids = encode(text or "")
+            return ids.view(np.int32), len(ids), decode(ids, vocab) == (text or "")
+
+        for texts in batches:
+            yield pd.DataFrame([checked(t) for t in texts], columns=["ids", "n_tokens", "round_trip"])
+
+    return run(text)
+
+
+def encode_and_check(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, round_trip) of each row; cases as in `encode_documents`."""
+    whole_text_batches(docs)
+    return docs.select("doc_id", checked_ids(F.col("text"), path).alias("_ids")).select("doc_id", "_ids.*")
+
+
 def round_trip_digest(text: Column, path: str) -> Column:
     """struct<n_tokens, ids_sha256, decoded_sha256>: a text encoded, and decoded from its ids.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
@@ -45,7 +44,6 @@ def merged_count(symbols: list[int], ranks: dict[int, int], merged: list[int]) -
     return left
 
 
-@lru_cache(maxsize=1)
 def counter(path: str) -> Callable[[str], int]:
     vocab = vocabulary(path)
     byte_ids, ranks, merged = vocab.byte_ids, vocab.ranks, vocab.merged
