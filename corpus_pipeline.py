@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from reviewmill.llm import bpe, exact, mixing, ngrams, toxicity
 from reviewmill.session import scratch_path
@@ -35,9 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, and whether they decode to its text."""
-    encoded = bpe.encode_documents(docs.select("doc_id", "text"), VOCABULARY)
-    same = bpe.text_of(F.col("ids"), VOCABULARY) == F.coalesce("text", F.lit(""))
-    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    return bpe.encode_and_check(docs, VOCABULARY)
 
 
 STAGES = [
