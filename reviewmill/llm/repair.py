@@ -29,6 +29,7 @@ REROLE, DELETE, INSERT, UNMENDED = 2, 3, 2, 1
 STATES, ACCEPTED = 4, (0, 3)
 EMITS = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
 MUST_GO = "d"
+TASK_ROWS = 5_000  # conversations whose products one task makes
 ROUNDS, PAIRS_A_ROUND = 8, 8  # rules of the grammar at most: their product; more or fewer change no result
 RULE = 0x4E00  # code point of the first rule's symbol
 HASH_BASE, HASH_MOD = 1_000_003, (1 << 127) - 1
@@ -282,7 +283,9 @@ def repairs(facts: DataFrame) -> DataFrame:
         for sequences in batches:
             yield pd.DataFrame([cheapest(s, known) for s in sequences], columns=["cost", "audit"])
 
-    return facts.withColumn("_edits", run(rewritten(F.col("sequence"), rules))).select("*", "_edits.*").drop("_edits")
+    # a conversation is few bytes and much arithmetic, so tasks go by rows
+    spread = facts.repartition(facts.count() // TASK_ROWS + 1)
+    return spread.withColumn("_edits", run(rewritten(F.col("sequence"), rules))).select("*", "_edits.*").drop("_edits")
 
 
 # --- repaired rows ----------------------------------------------------------------------------
