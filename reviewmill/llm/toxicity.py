@@ -30,6 +30,7 @@ log = logging.getLogger(__name__)
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 KNOWN_WORDS = 200_000
+NOTHING = 1.1  # a cut-off above all scores
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ class Training:
 
     A feature is chosen only if its likelihood ratio (in nats) is at least `least_gain`. A fit
     ends when no weight moves by `tolerance` any more, or after `steps`. The cut-off has the best
-    F0.5 among those that find a share of `recall` of the toxic rows out of fold.
+    F0.5 out of fold among those with at least `precision`, and with `recall` where it can be had.
     """
 
     max_rows: int = 20_000
@@ -50,6 +51,7 @@ class Training:
     steps: int = 1_000
     tolerance: float = 1e-4
     recall: float = 0.85
+    precision: float = 0.9
     seed: int = 0
 
 
@@ -144,17 +146,23 @@ def fit_linear(x: Inputs, y: np.ndarray, plan: Training, used: np.ndarray | None
     return w
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray, recall: float) -> float:
+def best_threshold(score: np.ndarray, y: np.ndarray, recall: float, precision: float) -> float:
     """The score from which calling a row toxic gives the best F0.5, midway to the next lower score.
 
-    F0.5 counts precision double, for clean documents should stay; cut-offs that find less than
-    `recall` of the toxic rows are not considered.
+    F0.5 counts precision double, for clean documents should stay. Only cut-offs of at least
+    `precision` count, and among them those that find a share of `recall` where there are any;
+    without any cut-off nothing is to be rejected.
     """
     order = np.argsort(-score, kind="stable")
-    hits = np.cumsum(y[order])
-    f = 1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
+    hits, called = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    f = 1.25 * hits / (called + 0.25 * y.sum())
     last = np.r_[score[order][1:] < score[order][:-1], True]
-    at = int(np.argmax(np.where(last & (hits >= recall * y.sum()), f, -1)))
+    sure = last & (hits >= precision * called)
+    if not sure.any():
+        log.warning("no cut-off tells toxic from clean labelled rows well enough: the chain rejects nothing")
+        return NOTHING
+    found = sure & (hits >= recall * y.sum())
+    at = int(np.argmax(np.where(found if found.any() else sure, f, -1)))
     low = score[order][at + 1] if at + 1 < len(y) else 0.0
     return float((score[order][at] + low) / 2)
 
@@ -226,7 +234,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, plan: Training = Training())
     )
     rows = rows.select("doc_id", "features", "counts", positive.alias("positive"))
     vocabulary = chosen_features(rows, names, plan)
-    chain = ToxicityChain(names, vocabulary, threshold=1.1)
+    chain = ToxicityChain(names, vocabulary, threshold=NOTHING)
     if not len(vocabulary):
         log.warning("no word tells toxic from clean labelled rows: the chain rejects nothing")
         return chain
@@ -255,7 +263,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, plan: Training = Training())
             frame = cut_lineage(frame.join(scored.drop("y"), "doc_id"))
     final = scored.select(names[-1], "y").toPandas()  # two numbers for each of max_rows at most
     if final["y"].any():
-        chain.threshold = best_threshold(final[names[-1]].to_numpy(), final["y"].to_numpy().astype(float), plan.recall)
+        chain.threshold = best_threshold(final[names[-1]].to_numpy(), final["y"].to_numpy().astype(float), plan.recall, plan.precision)
     return chain
 
 

@@ -83,9 +83,12 @@ def test_threshold_keeps_the_recall_floor():
     y = np.array([1, 1, 0, 1, 0, 0, 1, 0, 0, 0], dtype=float)
     score = np.linspace(0.9, 0.1, 10)
     for floor in (0.0, 0.5, 0.75, 1.0):
-        at = toxicity.best_threshold(score, y, floor)
+        at = toxicity.best_threshold(score, y, floor, 0.0)
         assert y[score >= at].sum() >= floor * y.sum()
-    assert toxicity.best_threshold(score, y, 0.0) > toxicity.best_threshold(score, y, 1.0)
+    assert toxicity.best_threshold(score, y, 0.0, 0.0) > toxicity.best_threshold(score, y, 1.0, 0.0)
+    # a recall that costs clean rows is given up, and scores that tell nothing reject nothing
+    assert y[score >= toxicity.best_threshold(score, y, 1.0, 0.9)].tolist() == [1, 1]
+    assert toxicity.best_threshold(np.full(10, 0.4), y, 0.85, 0.9) > 1
 
 
 def test_secrets_in_the_corpus(spark):
