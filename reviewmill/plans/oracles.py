@@ -197,8 +197,7 @@ HIERARCHY = """WITH RECURSIVE points AS (SELECT vec_id AS row_id, label % 3 AS g
 """
 
 CLUSTER_TEXT = CLUSTERED + f""", texts AS (
-  SELECT {CLUSTER_KEYS}, string_agg(content, ' ' ORDER BY row_id) AS cluster_text FROM (
-    SELECT * FROM clustered WHERE cluster <> -1 QUALIFY row_number() OVER (PARTITION BY {CLUSTER_KEYS} ORDER BY row_id) <= 3)
+  SELECT {CLUSTER_KEYS}, string_agg(content, ' ' ORDER BY row_id) AS cluster_text FROM clustered WHERE cluster <> -1
   GROUP BY {CLUSTER_KEYS})"""
 
 

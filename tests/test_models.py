@@ -10,7 +10,9 @@ from reviewmill.operators import density, features, metrics, model, registry, sp
 from reviewmill.operators.components import connected_components
 from reviewmill.operators.lake import read_lake
 from reviewmill.plans.jobs import analyze, picked_reviews, scrape_load_job, train_job
+from reviewmill.plans.queries import QUERIES
 from reviewmill.schema import ReviewDataError
+from reviewmill.sources import tables
 
 GOOD = ["great app love it", "love this great app", "works great love", "great love app works"]
 BAD = ["terrible app hate it", "hate this terrible app", "terrible crash hate", "hate crash app terrible"]
@@ -267,3 +269,10 @@ def test_far_cells_do_not_meet(spark):
     assert density._median_reach(celled, blocks, pivots, ["grp"]).count() == 1
     whole = {tuple(r) for r in density.density_clusters(vectors(spark, x), ["grp"], block_rows=5000).collect()}
     assert whole == {tuple(r) for r in density.density_clusters(vectors(spark, x), ["grp"], block_rows=40).collect()}
+
+
+def test_cluster_text_query_takes_every_review(spark):
+    rows = tables.clustered(spark, "/root/testdata/sf0.001").filter("cluster <> -1")
+    cut = QUERIES["cluster_text"](spark, "/root/testdata/sf0.001").agg(F.sum(F.length("cluster_text")), F.count(F.lit(1))).first()
+    want = rows.agg(F.sum(F.length("content")), F.count("content")).first()
+    assert cut[0] == want[0] + want[1] - cut[1]
