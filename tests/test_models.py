@@ -271,6 +271,14 @@ def test_far_cells_do_not_meet(spark):
     assert whole == {tuple(r) for r in density.density_clusters(vectors(spark, x), ["grp"], block_rows=40).collect()}
 
 
+def test_size_estimates_do_not_grow_with_rounds(spark, capsys):
+    chain = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    roots = connected_components(chain)
+    roots.explain(mode="cost")
+    assert "E+" not in capsys.readouterr().out.split("Physical Plan")[0]
+    assert roots.filter("root = 0").count() == 201
+
+
 def test_cluster_text_query_takes_every_review(spark):
     rows = tables.clustered(spark, "/root/testdata/sf0.001").filter("cluster <> -1")
     cut = QUERIES["cluster_text"](spark, "/root/testdata/sf0.001").agg(F.sum(F.length("cluster_text")), F.count(F.lit(1))).first()
