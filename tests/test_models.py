@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,6 +272,22 @@ def test_far_cells_do_not_meet(spark):
     assert whole == {tuple(r) for r in density.density_clusters(vectors(spark, x), ["grp"], block_rows=40).collect()}
 
 
+def test_points_travel_once_per_strip(spark):
+    """However many blocks a group has, each of its points meets a bounded number of tasks."""
+    x = np.random.default_rng(6).normal(size=(600, 8))
+    points = vectors(spark, x).select("grp", F.col("row_id").alias("_id"), F.col("vector").alias("_vec"))
+    celled, pivots = density._cells(points, ["grp"], 10)
+    blocks = density._blocks(celled, ["grp"]).withColumn("_reach", F.lit(float("inf")))
+    pairs = density._strip_pairs(celled, density._cell_pairs(blocks, pivots, ["grp"]), ["grp"])
+
+    def sizes(a, b, cells):
+        return pd.DataFrame([{"n": len(a) if a is b else len(a) + len(b), "met": sum(len(i) * len(j) if i is not j else len(i) * (len(i) - 1) // 2 for i, j in density._tiles(a, b, cells))}])
+
+    got = density._meet(celled, pairs, ["grp"], sizes, "n long, met long").agg(F.sum("n"), F.sum("met")).first()
+    assert got[0] == 600 * density.STRIPS and got[1] == 600 * 599 // 2
+    assert blocks.count() > 5 * density.STRIPS
+
+
 def test_size_estimates_do_not_grow_with_rounds(spark, capsys):
     chain = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     roots = connected_components(chain)
