@@ -301,3 +301,23 @@ def test_cluster_text_query_takes_every_review(spark):
     cut = QUERIES["cluster_text"](spark, "/root/testdata/sf0.001").agg(F.sum(F.length("cluster_text")), F.count(F.lit(1))).first()
     want = rows.agg(F.sum(F.length("content")), F.count("content")).first()
     assert cut[0] == want[0] + want[1] - cut[1]
+
+
+def test_terms_of_one_group_are_counted_in_many_tasks(spark, monkeypatch):
+    texts = ["battery drains fast", "login screen keeps loading"]
+    rows = spark.createDataFrame([("a", "negative", i, texts[i % 2]) for i in range(80)], "app_id string, sentiment string, row_id long, content string")
+    points = spark.createDataFrame([(i, [float(i % 2), 1.0 - i % 2]) for i in range(80)], "row_id long, vector array<double>")
+    shares, scores = [], topics.keyphrase_scores
+
+    def seen(df, *args):
+        shares.extend(r["count"] for r in df.groupBy(F.spark_partition_id().alias("at")).count().collect())
+        return scores(df, *args)
+
+    monkeypatch.setattr(topics, "keyphrase_scores", seen)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        named = topics.cluster_topics(rows, points, reduce_dims=None, max_clusters=2, min_similarity=0.3, min_samples=2, min_cluster_size=5)
+        assert named.count() == 80 and sum(shares) == 80 and max(shares) < 80
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
