@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,41 @@ def test_tfidf_matches_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+def test_known_occurrences_slice_by_slice(monkeypatch):
+    monkeypatch.setattr(features, "SLICE_CHARS", 20)
+    texts = ["aa bb aa", "bb", "cc cc cc cc", "aa bb aa bb aa bb aa bb aa bb", "zz", "bb cc"]
+    terms = ["bb", "aa bb", "cc", "cc cc"]
+    got = {(int(r), terms[a]): int(n) for part in features.known_occurrences(pa.array(texts), pa.array(terms)) for r, a, n in zip(*part)}
+    want = {}
+    for i, text in enumerate(texts):
+        w = text.split()
+        want |= {(i, t): n for t, n in Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]).items() if t in terms}
+    assert got == want and len(list(features.slices(pa.array(texts)))) > 1
+
+
+def shuffled_terms(df):
+    """Shuffled rows of a query whose tables hold `term`, next to all of its windows."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning\((term|row_id)#", line) or " Window " in line]
+
+
+def test_terms_of_rows_are_not_shuffled(spark):
+    rows = [(1, "aa bb aa"), (1, "bb cc"), (None, "aa aa"), (None, "bb"), (2, "zz"), (3, None), (4, "aa bb cc")]
+    df = spark.createDataFrame(rows, "row_id long, content string")
+    idf, coef = {"aa": 1.5, "bb": 2.0, "aa bb": 3.0}, {"aa": [1.0, 0.0], "bb": [-1.0, 0.5], "aa bb": [0.25, 2.0]}
+    table = spark.createDataFrame([(t, idf[t], coef[t]) for t in idf], "term string, idf double, coef array<double>").checkpoint()
+    found = [(k, t, (1 + math.log(n)) * idf[t]) for k, text in rows for w in [(text or "").split()] for t, n in Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]).items() if t in idf]
+    length = {k: math.sqrt(sum(w * w for j, _, w in found if j == k)) for k, _, _ in found}
+    out = features.tfidf(df, table.select("term", "idf"))
+    rounded = lambda rows: Counter((k, t, round(w, 9)) for k, t, w in rows)
+    assert rounded(out.collect()) == rounded((k, t, w / length[k]) for k, t, w in found)
+    scored = model.class_scores(df, model.LinearModel(table, [0, 1], [0.5, 0.0], 10**9))
+    want = {k: [sum(w * coef[t][i] for j, t, w in found if j == k) / length[k] + b for i, b in enumerate([0.5, 0.0])] for k in length}
+    got = {r["row_id"]: r["scores"] for r in scored.collect()}
+    assert got.keys() == want.keys() and all(abs(x - y) < 1e-12 for k in got for x, y in zip(got[k], want[k]))
+    assert not shuffled_terms(out) and not shuffled_terms(scored)
+
+
 def test_metrics(spark):
     pairs = [(0, 0), (0, 1), (1, 1), (2, 1), (2, 2), (2, 2), (1, 3)]
     df = spark.createDataFrame(pairs, "label int, prediction int")
