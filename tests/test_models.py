@@ -108,6 +108,38 @@ def test_terms_of_rows_are_not_shuffled(spark):
     assert not shuffled_terms(out) and not shuffled_terms(scored)
 
 
+def test_vocabulary_travels_packed(spark):
+    rows = [(1, "aa bb aa", "x"), (1, "bb cc", "y"), (2, "aa aa", None), (3, None, "x"), (4, "", "y"), (5, "dd " * 9, "y"), (6, "aa bb", "x")]
+    df = spark.createDataFrame(rows, "row_id long, content string, label string")
+    out = features.vocabulary(df, kind="label", kinds=["x", "y"])
+    seen, own = Counter(), Counter()
+    for _, text, label in rows:
+        w = (text or "").split()
+        terms = {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}
+        seen.update(terms)
+        own.update((t, label) for t in terms)
+    want = {(t, n, 7, own[t, "x"], own[t, "y"]) for t, n in seen.items() if n >= 2}
+    assert {(r["term"], r["df"], r["n_docs"], r["x"], r["y"]) for r in out.collect()} == want and ("bb", 3, 7, 2, 1) in want
+    assert not shuffled_terms(out) and "hashpartitioning(_part" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashes_of_terms():
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdeé漢"), rng.integers(1, 90))) for _ in range(3000)] + [""]
+    terms = pa.array(words)
+    hashes = features.term_hashes(terms)
+    assert len(set(hashes.tolist())) > 0.99 * len(set(words)) and hashes.max() < 1 << features.HASH_BITS
+    assert (features.term_hashes(terms[100:200]) == hashes[100:200]).all() and len(features.term_hashes(terms[:0])) == 0
+    some = np.unique(hashes)
+    assert (features.unpacked_hashes(pa.scalar(features.packed_hashes(some))) == some).all()
+    for n in (1, 7, 1000):
+        bounds = features.part_bounds(some, n)
+        assert bounds[0] == 0 and bounds[-1] == len(some) and len(bounds) == n + 1
+        parts = [(int(b["_part"][0].as_py()), t) for b in features.in_parts(pa.table({"term": terms}), n) for t in features.unpacked(b["_rows"][0])["term"].to_pylist()]
+        assert sorted(t for _, t in parts) == sorted(words)
+        assert all(bounds[p] <= np.searchsorted(some, hashes[words.index(t)]) < bounds[p + 1] for p, t in parts)
+
+
 def test_metrics(spark):
     pairs = [(0, 0), (0, 1), (1, 1), (2, 1), (2, 2), (2, 2), (1, 3)]
     df = spark.createDataFrame(pairs, "label int, prediction int")
