@@ -218,3 +218,40 @@ def test_seeded_sample(spark):
         assert sorted(r.id for r in got.collect()) == sorted(in_order[:n])
     plan = seeded_sample(df, ["id"], 100)._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan and "Sort" not in plan
+
+
+def test_picks_from_a_shortlist_are_those_from_all_terms(spark, monkeypatch):
+    import numpy as np
+
+    from reviewmill.operators import topics
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for c in range(6):
+        names = {" ".join(rng.choice(list("abcdef") if c % 2 else [f"w{i}" for i in range(60)], 2)) for _ in range(50)}
+        rows += [("a", "positive", c, t, float(round(1 - 0.003 * i if c % 2 else rng.random(), 9))) for i, t in enumerate(sorted(names))]
+    rows += [("a", "negative", 0, "one", 1.0), ("a", None, 0, "none", 1.0)]
+    scores = spark.createDataFrame(rows, "app_id string, sentiment string, cluster long, term string, score double")
+    want = {}
+    for key in {r[:3] for r in rows}:
+        left, got = {r[3]: r[4] for r in rows if r[:3] == key}, []
+        overlap = lambda x, y: len({*x.split()} & {*y.split()}) / len({*x.split()} | {*y.split()})
+        while left and len(got) < (1 if None in key else 3):
+            cost = lambda t: (round(0.5 * max(overlap(t, g) for g in got) - 0.5 * left[t], 9) if got else -left[t], t)
+            got.append(min(left, key=cost))
+            left.pop(got[-1])
+        want[key] = got
+    whole = []
+    picks = topics._picks
+    monkeypatch.setattr(topics, "_picks", lambda *a: whole.append(1) or picks(*a))
+    found = lambda df: {(r.app_id, r.sentiment, r.cluster): r.keywords for r in topics.pick_keyphrases(df).collect()}
+    assert found(scores) == want
+    monkeypatch.setattr(topics, "SHORTLIST", 4)
+    whole.clear()
+    assert found(scores) == want and len(whole) == 2  # equal words everywhere: a term beyond the shortlist is needed
+    whole.clear()
+    far = scores.filter("cluster = 0")
+    assert found(far) == {k: v for k, v in want.items() if k[2] == 0} and len(whole) <= 2
+    monkeypatch.setattr(topics, "SHORTLIST", 30)
+    whole.clear()
+    assert found(far) == {k: v for k, v in want.items() if k[2] == 0} and len(whole) == 1  # all terms are read once
